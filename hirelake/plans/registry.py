@@ -12,7 +12,7 @@ from hirelake.plans.views import Inputs
 MODULES = [
     "checks_cleaning",
     "checks_catalog",
-#    "checks_payloads",
+    "checks_payloads",
 #    "checks_pages",
 #    "checks_models",
 #    "checks_reports",

@@ -72,8 +72,8 @@ SELECT source, src_no, provider, page_no,
        CASE WHEN page_no = 1 THEN greatest(n, 1) ELSE n END AS n_jobs,
        CASE src_no % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 150
                        WHEN 3 THEN 40 ELSE 900 END AS total,
-       (src_no * 7 + page_no) % 211 <> 0 AS success,
-       CASE WHEN (src_no * 7 + page_no) % 211 <> 0 THEN ''
+       (src_no * 7 + page_no) % 37 <> 0 AS success,
+       CASE WHEN (src_no * 7 + page_no) % 37 <> 0 THEN ''
             ELSE concat('API returned HTTP 50', cast(page_no % 4 AS string)) END AS error
 FROM (
   SELECT concat('source ', cast(src_no AS string)) AS source, src_no,
@@ -169,9 +169,17 @@ SELECT {_K} AS k,
   CASE {_K} % 4 WHEN 0 THEN 'FULL-TIME' WHEN 1 THEN NULL WHEN 2 THEN ''
        ELSE 'part time' END AS kind,
   cast({_MONTH} AS bigint) AS month_no, cast({_DAY_OF} AS bigint) AS day_no,
-  {_MONTH_NAME} AS month_name,
   CASE WHEN {_K} % 17 = 0 THEN 0 WHEN {_K} % 19 = 0 THEN NULL
        ELSE 1600000000 + {_K} * 3607 END AS epoch,
+  CASE WHEN {_K} % 17 = 0 THEN 'soon' WHEN {_K} % 19 = 0 THEN NULL
+       ELSE concat({_MONTH_NAME}, ' ', cast({_DAY_OF} AS string), ', 2024') END AS long_date,
+  CASE WHEN {_K} % 17 = 0 THEN 'soon' WHEN {_K} % 19 = 0 THEN NULL
+       ELSE concat(left({_MONTH_NAME}, 3), ' ', cast({_DAY_OF} AS string), ', 2024') END AS short_date,
+  CASE WHEN {_K} % 17 = 0 THEN 'soon' WHEN {_K} % 19 = 0 THEN NULL
+       ELSE concat('2024-', lpad(cast({_MONTH} AS string), 2, '0'), '-',
+                   lpad(cast({_DAY_OF} AS string), 2, '0')) END AS iso_day,
+  CASE {_K} % 5 WHEN 0 THEN '-04:00' WHEN 1 THEN 'Z' WHEN 2 THEN '+0530' WHEN 3 THEN ''
+       ELSE '+00:00' END AS zone,
   cast({_K} % 24 AS bigint) AS hour_no, cast({_K} % 60 AS bigint) AS minute_no,
   p_name AS name, p_brand AS brand, p_size AS size
 FROM part

@@ -107,7 +107,7 @@ def with_base_urls(routed: DataFrame) -> DataFrame:
     """Add what job links are built from, and the per-provider defaults."""
     api = F.col("api_url")
     scheme = F.regexp_extract(api, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    host = F.lower(F.regexp_extract(api, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    host = F.lower(F.regexp_extract(api, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     origin = F.concat(F.lower(scheme), F.lit("://"), host)
     # .../wday/cxs/{tenant}/{site}/jobs: text before the last /wday/, then site.
     workday_root = F.regexp_extract(api, r"(?s)^(.*)/wday/", 1)
