@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hirelake.functions import markup
 from hirelake.functions.text import cut, filled, or_empty
@@ -27,21 +28,29 @@ LISTING_SOURCE = "ServiceNow Careers"
 LISTING_SITE = "https://careers.servicenow.com"
 
 
-@F.pandas_udf("string")
+_TEXT = T.StringType()
+
+
+def _structs(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(name, _TEXT) for name in names]))
+
+
+_ANCHORS = _structs("text", "href", "url")
+
+
+@F.pandas_udf(_TEXT)
 def _main_text(html: pd.Series) -> pd.Series:
     return html.map(lambda page: markup.main_text(markup.Page(page)) if page else "")
 
 
-@F.pandas_udf("array<struct<text string, href string, url string>>")
+@F.pandas_udf(_ANCHORS)
 def _anchors(html: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series(
         [markup.anchors(markup.Page(page), base or "") if page else [] for page, base in zip(html, url)]
     )
 
 
-@F.pandas_udf(
-    "struct<text string, anchors array<struct<text string, href string, url string>>>"
-)
+@F.pandas_udf(T.StructType().add("text", _TEXT).add("anchors", _ANCHORS))
 def _text_and_anchors(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     pages = [markup.Page(page) if page else None for page in html]
     return pd.DataFrame(
@@ -56,7 +65,7 @@ def _text_and_anchors(html: pd.Series, url: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(
-    "struct<cards array<struct<title string, href string, place string>>, counter string>"
+    T.StructType().add("cards", _structs("title", "href", "place")).add("counter", _TEXT)
 )
 def _listing(html: pd.Series) -> pd.DataFrame:
     read = [markup.listing(markup.Page(page or "")) for page in html]

@@ -34,27 +34,33 @@ FULL_TIME = "Full-time"
 
 @dataclass(frozen=True)
 class PayloadShape:
-    """``items`` and ``total`` read the parsed body ``doc``; ``keep`` and
-    ``fields`` read one element ``job`` (plus source, base_url, site_number)."""
+    """``items`` and ``total`` read a parsed body, ``keep`` and ``fields`` one
+    element of the job array; ``usable`` guards what may be parsed at all."""
 
     schema: str
-    items: Column
-    total: Column
-    fields: Callable[[object], dict[str, Column]]
+    items: Callable[[Column], Column]
+    total: Callable[[Column], Column]
+    fields: Callable[[Column, object], dict[str, Column]]
     keep: Callable[[Column], Column] | None = None
-    usable: Column | None = None
+    usable: Callable[[Column], Column] | None = None
+
+    def parse(self, body: Column) -> Column:
+        return F.from_json(body if self.usable is None else F.when(self.usable(body), body), self.schema)
+
+    def kept(self, doc: Column) -> Column:
+        return self.items(doc) if self.keep is None else F.filter(self.items(doc), self.keep)
 
 
 def _strings(*names: str) -> str:
     return ", ".join(f"{name} STRING" for name in names)
 
 
-def _job(path: str) -> Column:
-    return F.col(f"job.{path}")
+def _at(value: Column, path: str) -> Column:
+    return reduce(lambda column, name: column[name], path.split("."), value)
 
 
-def _default(path: str, value: str) -> Column:
-    return F.coalesce(_job(path), F.lit(value))
+def _default(job: Column, path: str, value: str) -> Column:
+    return F.coalesce(_at(job, path), F.lit(value))
 
 
 def _linked(prefix: Column, tail: Column, *needed: Column) -> Column:
@@ -78,9 +84,9 @@ _PLACES_IN_TEXT = (
 _NEXT_SECTION = rf"(?U){WS}(Responsibilities|Qualifications|Requirements|About the role)"
 
 
-def _github(as_of) -> dict[str, Column]:
-    text = or_empty(_job("data.description"))
-    city_state = join_filled(", ", _job("data.city"), _job("data.state"))
+def _github(job, as_of) -> dict[str, Column]:
+    text = or_empty(_at(job, "data.description"))
+    city_state = join_filled(", ", _at(job, "data.city"), _at(job, "data.state"))
     found = strip(F.regexp_extract(text, _PLACES_IN_TEXT, 1))
     guessed = F.when(text.contains("Remote"), F.lit("Remote")).when(
         text.contains("Locations"), found
@@ -92,178 +98,178 @@ def _github(as_of) -> dict[str, Column]:
         .otherwise(F.substring(after, 1, 300))
     )
     return {
-        "title": _default("data.title", "Unknown"),
+        "title": _default(job, "data.title", "Unknown"),
         "company": F.lit("GitHub"),
         "location": F.coalesce(
             blank_to_null(city_state), blank_to_null(guessed), F.lit(NOT_SPECIFIED)
         ),
         "url": _linked(
-            F.lit("https://www.github.careers/careers-home/jobs/"), _job("data.slug")
+            F.lit("https://www.github.careers/careers-home/jobs/"), _at(job, "data.slug")
         ),
         "description": strip(summary),
-        "date_posted": _job("data.posted_date"),
-        "job_type": _default("data.employment_type", FULL_TIME),
+        "date_posted": _at(job, "data.posted_date"),
+        "job_type": _default(job, "data.employment_type", FULL_TIME),
     }
 
 
-def _amazon(as_of) -> dict[str, Column]:
+def _amazon(job, as_of) -> dict[str, Column]:
     return {
-        "title": _default("title", "Unknown"),
+        "title": _default(job, "title", "Unknown"),
         "company": F.lit("Amazon"),
-        "location": _place(_job("city"), _job("state")),
-        "url": _linked(F.lit("https://www.amazon.jobs"), _job("job_path")),
+        "location": _place(_at(job, "city"), _at(job, "state")),
+        "url": _linked(F.lit("https://www.amazon.jobs"), _at(job, "job_path")),
         "description": F.coalesce(
-            blank_to_null(_job("description_short")),
-            F.substring(or_empty(_job("description")), 1, 300),
+            blank_to_null(_at(job, "description_short")),
+            F.substring(or_empty(_at(job, "description")), 1, 300),
         ),
-        "date_posted": or_empty(dates.month_name_text(_job("posted_date"), dates.LONG_MONTH)),
-        "job_type": capitalize(_default("job_schedule_type", FULL_TIME)),
+        "date_posted": or_empty(dates.month_name_text(_at(job, "posted_date"), dates.LONG_MONTH)),
+        "job_type": capitalize(_default(job, "job_schedule_type", FULL_TIME)),
     }
 
 
-def _eightfold(as_of) -> dict[str, Column]:
-    department = F.col("job.department")
-    number = _job("displayJobId")
+def _eightfold(job, as_of) -> dict[str, Column]:
+    department = _at(job, "department")
+    number = _at(job, "displayJobId")
     numbered = F.concat(F.lit("Job ID: "), number)
     return {
-        "title": _default("name", "Unknown"),
+        "title": _default(job, "name", "Unknown"),
         "company": _company(),
         "location": F.when(
-            F.array_size(_job("locations")) > 0, F.array_join(_job("locations"), ", ")
+            F.array_size(_at(job, "locations")) > 0, F.array_join(_at(job, "locations"), ", ")
         ).otherwise(F.lit(NOT_SPECIFIED)),
-        "url": _linked(F.col("base_url"), _job("positionUrl"), F.col("base_url")),
+        "url": _linked(F.col("base_url"), _at(job, "positionUrl"), F.col("base_url")),
         "description": F.when(
             filled(number), join_filled(" | ", numbered, department)
         ).otherwise(or_empty(department)),
-        "date_posted": dates.epoch_seconds_text(_job("postedTs")),
+        "date_posted": dates.epoch_seconds_text(_at(job, "postedTs")),
         "job_type": F.lit(FULL_TIME),
     }
 
 
-def _workday(as_of) -> dict[str, Column]:
+def _workday(job, as_of) -> dict[str, Column]:
     return {
-        "title": _default("title", "Unknown"),
+        "title": _default(job, "title", "Unknown"),
         "company": _company(),
-        "location": _default("locationsText", NOT_SPECIFIED),
-        "url": _linked(or_empty(F.col("base_url")), _job("externalPath")),
-        "description": or_empty(F.get(_job("bulletFields"), 0)),
-        "date_posted": dates.days_ago_text(_job("postedOn"), as_of),
+        "location": _default(job, "locationsText", NOT_SPECIFIED),
+        "url": _linked(or_empty(F.col("base_url")), _at(job, "externalPath")),
+        "description": or_empty(F.get(_at(job, "bulletFields"), 0)),
+        "date_posted": dates.days_ago_text(_at(job, "postedOn"), as_of),
         "job_type": F.lit(FULL_TIME),
     }
 
 
-def _lever(as_of) -> dict[str, Column]:
-    plain = _job("descriptionPlain")
+def _lever(job, as_of) -> dict[str, Column]:
+    plain = _at(job, "descriptionPlain")
     return {
-        "title": _default("text", "Unknown"),
+        "title": _default(job, "text", "Unknown"),
         "company": _company(),
-        "location": _default("categories.location", NOT_SPECIFIED),
-        "url": or_empty(_job("hostedUrl")),
+        "location": _default(job, "categories.location", NOT_SPECIFIED),
+        "url": or_empty(_at(job, "hostedUrl")),
         "description": F.when(filled(plain), strip(F.substring(plain, 1, 300))).otherwise(
-            or_empty(_job("text"))
+            or_empty(_at(job, "text"))
         ),
-        "date_posted": dates.epoch_millis_text(_job("createdAt")),
-        "job_type": F.coalesce(blank_to_null(_job("categories.commitment")), F.lit(FULL_TIME)),
+        "date_posted": dates.epoch_millis_text(_at(job, "createdAt")),
+        "job_type": F.coalesce(blank_to_null(_at(job, "categories.commitment")), F.lit(FULL_TIME)),
     }
 
 
-def _greenhouse(as_of) -> dict[str, Column]:
-    updated = _job("updated_at")
+def _greenhouse(job, as_of) -> dict[str, Column]:
+    updated = _at(job, "updated_at")
     # Digits keep their wall clock; only the age test looks at the offset.
     recent = dates.offset_instant(updated) > dates.days_before(as_of, 61)
-    names = F.filter(F.transform(_job("departments"), lambda d: d["name"]), filled)
+    names = F.filter(F.transform(_at(job, "departments"), lambda d: d["name"]), filled)
     return {
-        "title": _default("title", "Unknown"),
+        "title": _default(job, "title", "Unknown"),
         "company": _company(),
-        "location": _default("location.name", NOT_SPECIFIED),
-        "url": or_empty(_job("absolute_url")),
+        "location": _default(job, "location.name", NOT_SPECIFIED),
+        "url": or_empty(_at(job, "absolute_url")),
         "description": or_empty(F.array_join(names, ", ")),
         "date_posted": F.when(recent, dates.wall_clock_text(updated)).otherwise(F.lit("")),
         "job_type": F.lit(FULL_TIME),
     }
 
 
-def _oracle_hcm(as_of) -> dict[str, Column]:
+def _oracle_hcm(job, as_of) -> dict[str, Column]:
     site = F.coalesce("site_number", F.lit("CX_1001"))
     folder = F.concat(
         F.col("base_url"), F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/")
     )
     return {
-        "title": _default("Title", "Unknown"),
+        "title": _default(job, "Title", "Unknown"),
         "company": _company(),
-        "location": _default("PrimaryLocation", NOT_SPECIFIED),
-        "url": _linked(folder, _job("Id"), F.col("base_url")),
-        "description": or_empty(_job("ShortDescriptionStr")),
-        "date_posted": or_empty(dates.day_text(_job("PostedDate"))),
+        "location": _default(job, "PrimaryLocation", NOT_SPECIFIED),
+        "url": _linked(folder, _at(job, "Id"), F.col("base_url")),
+        "description": or_empty(_at(job, "ShortDescriptionStr")),
+        "date_posted": or_empty(dates.day_text(_at(job, "PostedDate"))),
         "job_type": F.lit(FULL_TIME),
     }
 
 
-def _phenom(as_of) -> dict[str, Column]:
-    number = F.coalesce(_job("jobId"), _job("reqId"))
+def _phenom(job, as_of) -> dict[str, Column]:
+    number = F.coalesce(_at(job, "jobId"), _at(job, "reqId"))
     built = _linked(
         F.concat(F.col("base_url"), F.lit("/us/en/job/")), number, F.col("base_url")
     )
     return {
-        "title": _default("title", "Unknown Title"),
+        "title": _default(job, "title", "Unknown Title"),
         "company": strip(_company()),
-        "location": F.coalesce(_job("location"), _job("cityStateCountry"), F.lit("")),
-        "url": F.coalesce(blank_to_null(_job("applyUrl")), built),
-        "description": join_filled(" | ", _job("category"), _job("descriptionTeaser")),
-        "date_posted": or_empty(_job("postedDate")),
-        "job_type": _default("type", "Full time"),
+        "location": F.coalesce(_at(job, "location"), _at(job, "cityStateCountry"), F.lit("")),
+        "url": F.coalesce(blank_to_null(_at(job, "applyUrl")), built),
+        "description": join_filled(" | ", _at(job, "category"), _at(job, "descriptionTeaser")),
+        "date_posted": or_empty(_at(job, "postedDate")),
+        "job_type": _default(job, "type", "Full time"),
     }
 
 
-def _goldman_sachs(as_of) -> dict[str, Column]:
+def _goldman_sachs(job, as_of) -> dict[str, Column]:
     places = F.filter(
         F.transform(
-            _job("locations"),
+            _at(job, "locations"),
             lambda p: join_filled(", ", p["city"], p["state"], p["country"]),
         ),
         filled,
     )
     return {
-        "title": _default("jobTitle", "Unknown Title"),
+        "title": _default(job, "jobTitle", "Unknown Title"),
         "company": F.lit("Goldman Sachs"),
         "location": F.coalesce(
             blank_to_null(F.array_join(places, "; ")), F.lit(NOT_SPECIFIED)
         ),
-        "url": _linked(F.lit("https://higher.gs.com/roles/"), _job("externalSource.sourceId")),
+        "url": _linked(F.lit("https://higher.gs.com/roles/"), _at(job, "externalSource.sourceId")),
         "description": join_filled(
-            " | ", _job("corporateTitle"), _job("division"), _job("jobFunction")
+            " | ", _at(job, "corporateTitle"), _at(job, "division"), _at(job, "jobFunction")
         ),
         "date_posted": F.lit(""),
         "job_type": F.lit(FULL_TIME),
     }
 
 
-def _epam(as_of) -> dict[str, Column]:
-    city = F.get(_job("city"), 0)
-    country = F.get(_job("country"), 0)
-    text = strip(F.regexp_replace(or_empty(_job("description")), r"<[^>]+>", ""))
+def _epam(job, as_of) -> dict[str, Column]:
+    city = F.get(_at(job, "city"), 0)
+    country = F.get(_at(job, "country"), 0)
+    text = strip(F.regexp_replace(or_empty(_at(job, "description")), r"<[^>]+>", ""))
     return {
-        "title": _default("name", "Unknown"),
+        "title": _default(job, "name", "Unknown"),
         "company": _company(),
         "location": _place(city["name"], city["state"]["name"], country["name"]),
-        "url": _linked(F.lit("https://careers.epam.com"), _job("seo.url")),
+        "url": _linked(F.lit("https://careers.epam.com"), _at(job, "seo.url")),
         "description": F.substring(text, 1, 500),
         "date_posted": F.lit(""),
-        "job_type": F.coalesce(blank_to_null(_job("vacancy_type")), F.lit(FULL_TIME)),
+        "job_type": F.coalesce(blank_to_null(_at(job, "vacancy_type")), F.lit(FULL_TIME)),
     }
 
 
-def _apple(as_of) -> dict[str, Column]:
-    place = F.get(_job("locations"), 0)
-    number = _job("id")
-    page = F.concat(number, F.lit("/"), or_empty(_job("transformedPostingTitle")))
-    posted = _job("postingDate")
+def _apple(job, as_of) -> dict[str, Column]:
+    place = F.get(_at(job, "locations"), 0)
+    number = _at(job, "id")
+    page = F.concat(number, F.lit("/"), or_empty(_at(job, "transformedPostingTitle")))
+    posted = _at(job, "postingDate")
     return {
-        "title": _default("postingTitle", "Unknown"),
+        "title": _default(job, "postingTitle", "Unknown"),
         "company": F.lit("Apple"),
         "location": _place(place["name"], place["countryName"]),
         "url": _linked(F.lit("https://jobs.apple.com/en-us/details/"), page, number),
-        "description": F.substring(or_empty(_job("jobSummary")), 1, 500),
+        "description": F.substring(or_empty(_at(job, "jobSummary")), 1, 500),
         "date_posted": F.coalesce(
             dates.month_name_text(posted, dates.SHORT_MONTH), posted, F.lit("")
         ),
@@ -278,10 +284,6 @@ _APPLE_JOB = (
 )
 
 
-def _doc(path: str) -> Column:
-    return F.col(f"doc.{path}")
-
-
 # The JSON field names of each payload shape.
 SHAPES = {
     "github": PayloadShape(
@@ -290,8 +292,8 @@ SHAPES = {
             "title", "city", "state", "description", "slug", "posted_date", "employment_type"
         )
         + ">>>",
-        items=_doc("jobs"),
-        total=_doc("totalCount"),
+        items=lambda doc: _at(doc, "jobs"),
+        total=lambda doc: _at(doc, "totalCount"),
         fields=_github,
     ),
     "amazon": PayloadShape(
@@ -301,8 +303,8 @@ SHAPES = {
             "description", "posted_date", "job_schedule_type",
         )
         + ">>",
-        items=_doc("jobs"),
-        total=_doc("hits"),
+        items=lambda doc: _at(doc, "jobs"),
+        total=lambda doc: _at(doc, "hits"),
         keep=lambda job: F.coalesce(job["country_code"] == "USA", F.lit(False)),
         fields=_amazon,
     ),
@@ -310,34 +312,34 @@ SHAPES = {
         schema="data STRUCT<total BIGINT, positions ARRAY<STRUCT<"
         + _strings("name", "positionUrl", "displayJobId", "department")
         + ", locations ARRAY<STRING>, postedTs BIGINT>>>",
-        items=_doc("data.positions"),
-        total=_doc("data.total"),
+        items=lambda doc: _at(doc, "data.positions"),
+        total=lambda doc: _at(doc, "data.total"),
         fields=_eightfold,
     ),
     "workday": PayloadShape(
         schema="total BIGINT, jobPostings ARRAY<STRUCT<"
         + _strings("title", "locationsText", "externalPath", "postedOn")
         + ", bulletFields ARRAY<STRING>>>",
-        items=_doc("jobPostings"),
-        total=_doc("total"),
+        items=lambda doc: _at(doc, "jobPostings"),
+        total=lambda doc: _at(doc, "total"),
         fields=_workday,
     ),
     "lever": PayloadShape(
         schema="ARRAY<STRUCT<"
         + _strings("text", "hostedUrl", "descriptionPlain")
         + ", createdAt BIGINT, categories STRUCT<location STRING, commitment STRING>>>",
-        items=F.col("doc"),
-        total=F.lit(0).cast("bigint"),
+        items=lambda doc: doc,
+        total=lambda doc: F.lit(0).cast("bigint"),
         # from_json reads a lone object as a one-element array; here it is no list.
-        usable=F.col("body").rlike(r"^\s*\["),
+        usable=lambda body: body.rlike(r"^\s*\["),
         fields=_lever,
     ),
     "greenhouse": PayloadShape(
         schema="meta STRUCT<total BIGINT>, jobs ARRAY<STRUCT<"
         + _strings("title", "absolute_url", "updated_at")
         + ", location STRUCT<name STRING>, departments ARRAY<STRUCT<name STRING>>>>",
-        items=_doc("jobs"),
-        total=_doc("meta.total"),
+        items=lambda doc: _at(doc, "jobs"),
+        total=lambda doc: _at(doc, "meta.total"),
         fields=_greenhouse,
     ),
     "oracle_hcm": PayloadShape(
@@ -347,8 +349,8 @@ SHAPES = {
             "ShortDescriptionStr",
         )
         + ">>>>",
-        items=F.get(_doc("items"), 0)["requisitionList"],
-        total=F.get(_doc("items"), 0)["TotalJobsCount"],
+        items=lambda doc: F.get(doc["items"], 0)["requisitionList"],
+        total=lambda doc: F.get(doc["items"], 0)["TotalJobsCount"],
         keep=lambda job: ~filled(job["PrimaryLocationCountry"])
         | (job["PrimaryLocationCountry"] == "US"),
         fields=_oracle_hcm,
@@ -360,8 +362,8 @@ SHAPES = {
             "descriptionTeaser", "category", "applyUrl",
         )
         + ">>>>",
-        items=_doc("refineSearch.data.jobs"),
-        total=_doc("refineSearch.totalHits"),
+        items=lambda doc: _at(doc, "refineSearch.data.jobs"),
+        total=lambda doc: _at(doc, "refineSearch.totalHits"),
         fields=_phenom,
     ),
     "goldman_sachs": PayloadShape(
@@ -369,8 +371,8 @@ SHAPES = {
         + _strings("jobTitle", "division", "jobFunction", "corporateTitle")
         + ", locations ARRAY<STRUCT<city STRING, state STRING, country STRING>>"
         + ", externalSource STRUCT<sourceId STRING>>>>>",
-        items=_doc("data.roleSearch.items"),
-        total=_doc("data.roleSearch.totalCount"),
+        items=lambda doc: _at(doc, "data.roleSearch.items"),
+        total=lambda doc: _at(doc, "data.roleSearch.totalCount"),
         fields=_goldman_sachs,
     ),
     "epam": PayloadShape(
@@ -378,52 +380,72 @@ SHAPES = {
         + _strings("name", "description", "vacancy_type")
         + ", city ARRAY<STRUCT<name STRING, state STRUCT<name STRING>>>"
         + ", country ARRAY<STRUCT<name STRING>>, seo STRUCT<url STRING>>>>",
-        items=_doc("data.jobs"),
-        total=_doc("data.total"),
+        items=lambda doc: _at(doc, "data.jobs"),
+        total=lambda doc: _at(doc, "data.total"),
         fields=_epam,
     ),
     "apple": PayloadShape(
         schema=f"res STRUCT<totalRecords BIGINT, searchResults ARRAY<{_APPLE_JOB}>>"
         f", totalRecords BIGINT, searchResults ARRAY<{_APPLE_JOB}>",
-        items=F.when(_doc("res").isNotNull(), _doc("res.searchResults")).otherwise(
-            _doc("searchResults")
-        ),
-        total=F.when(_doc("res").isNotNull(), _doc("res.totalRecords")).otherwise(
-            _doc("totalRecords")
-        ),
+        items=lambda doc: F.when(
+            doc["res"].isNotNull(), _at(doc, "res.searchResults")
+        ).otherwise(doc["searchResults"]),
+        total=lambda doc: F.when(
+            doc["res"].isNotNull(), _at(doc, "res.totalRecords")
+        ).otherwise(doc["totalRecords"]),
         fields=_apple,
     ),
 }
 
 
-def _parsed(payloads: DataFrame, provider: str) -> DataFrame:
-    """Rows of one provider with the body parsed into ``doc``."""
-    shape = SHAPES[provider]
-    body = F.col("body") if shape.usable is None else F.when(shape.usable, F.col("body"))
-    return payloads.filter(F.col("provider") == provider).withColumn(
-        "doc", F.from_json(body, shape.schema)
-    )
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time per row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _by_provider(branch: Callable[[str, PayloadShape], Column]) -> Column:
+    """The branch of the row's own provider; the others are not evaluated."""
+    (first, shape), *rest = SHAPES.items()
+    chosen = F.when(F.col("provider") == first, branch(first, shape))
+    for name, shape in rest:
+        chosen = chosen.when(F.col("provider") == name, branch(name, shape))
+    return chosen
 
 
 def page_stats(payloads: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per landed page: jobs left after the shape's own row filter, and the
-    total the site announced.  Input of the page cut-off."""
-    keys = keys or ["source"]
-
-    def one(provider: str) -> DataFrame:
-        shape = SHAPES[provider]
-        kept = shape.items if shape.keep is None else F.filter(shape.items, shape.keep)
-        return _parsed(payloads, provider).select(
-            *keys,
+    total the site announced.  Input of the page cut-off; one scan."""
+
+    def numbers(_: str, shape: PayloadShape) -> Column:
+        return _once(
+            shape.parse(F.col("body")),
+            lambda doc: F.struct(
+                F.coalesce(F.array_size(shape.kept(doc)), F.lit(0)).cast("bigint").alias("n_jobs"),
+                shape.total(doc).alias("total"),
+            ),
+        )
+
+    return (
+        payloads.filter(F.col("provider").isin(*SHAPES))
+        .withColumn("_page", _by_provider(numbers))
+        .select(
+            *(keys or ["source"]),
             "provider",
             "page_no",
             F.coalesce("success", F.lit(False)).alias("success"),
             "error",
-            F.coalesce(F.array_size(kept), F.lit(0)).cast("bigint").alias("n_jobs"),
-            shape.total.alias("total"),
+            F.coalesce("_page.n_jobs", F.lit(0)).cast("bigint").alias("n_jobs"),
+            "_page.total",
         )
+    )
 
-    return reduce(DataFrame.unionByName, [one(name) for name in SHAPES])
+
+_ORDINALS = ["provider", "src_idx", "page_no", "item_no"]
+
+
+def _posting_columns(fields: dict[str, Column]) -> list[Column]:
+    ordinals = [F.col(name).cast("bigint").alias(name) for name in _ORDINALS[1:]]
+    return [*[fields[name].alias(name) for name in POSTING_FIELDS], F.col("provider"), *ordinals]
 
 
 def flatten(payloads: DataFrame, provider: str, as_of=None) -> DataFrame:
@@ -434,30 +456,48 @@ def flatten(payloads: DataFrame, provider: str, as_of=None) -> DataFrame:
     shapes that only state an age (workday) or test it (greenhouse).
     """
     shape = SHAPES[provider]
-    rows = _parsed(payloads, provider).select(
-        "source",
-        "provider",
-        "src_idx",
-        "page_no",
-        "base_url",
-        "site_number",
-        F.posexplode(shape.items).alias("item_no", "job"),
-    )
+    rows = (
+        payloads.filter(F.col("provider") == provider)
+        .withColumn("doc", shape.parse(F.col("body")))
+        .select(
+            "source", "provider", "src_idx", "page_no", "base_url", "site_number",
+            F.posexplode(shape.items(F.col("doc"))).alias("item_no", "job"),
+        )
+    )
     if shape.keep is not None:
         rows = rows.filter(shape.keep(F.col("job")))
-    fields = {**shape.fields(as_of), "source": F.col("source")}
-    return rows.select(
-        *[fields[name].alias(name) for name in POSTING_FIELDS],
-        "provider",
-        F.col("src_idx").cast("bigint").alias("src_idx"),
-        F.col("page_no").cast("bigint").alias("page_no"),
-        F.col("item_no").cast("bigint").alias("item_no"),
-    )
+    fields = shape.fields(F.col("job"), as_of)
+    return rows.select(*_posting_columns({**fields, "source": F.col("source")}))
 
 
 def flatten_all(payloads: DataFrame, as_of) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName, [flatten(payloads, name, as_of) for name in SHAPES]
+    """Postings of all providers in one scan, whatever the file layout.
+
+    Each row is parsed with its own provider's schema only.  The array of a
+    page is turned into postings inside the row and exploded afterwards.
+    """
+
+    def postings(_: str, shape: PayloadShape) -> Column:
+        def posting(job: Column, item_no: Column) -> Column:
+            fields = shape.fields(job, as_of)
+            keep = F.lit(True) if shape.keep is None else shape.keep(job)
+            return F.struct(
+                item_no.cast("bigint").alias("item_no"),
+                keep.alias("keep"),
+                *[fields[name].alias(name) for name in POSTING_FIELDS if name != "source"],
+            )
+
+        return F.transform(shape.items(shape.parse(F.col("body"))), posting)
+
+    rows = payloads.filter(F.col("provider").isin(*SHAPES)).select(
+        "source", "provider", "src_idx", "page_no",
+        F.explode(_by_provider(postings)).alias("job"),
+    )
+    fields = {name: F.col(f"job.{name}") for name in POSTING_FIELDS if name != "source"}
+    return (
+        rows.filter("job.keep")
+        .withColumn("item_no", F.col("job.item_no"))
+        .select(*_posting_columns({**fields, "source": F.col("source")}))
     )
 
 

@@ -13,8 +13,8 @@ MODULES = [
     "checks_cleaning",
     "checks_catalog",
     "checks_payloads",
-#    "checks_pages",
-#    "checks_models",
+    "checks_pages",
+    "checks_models",
 #    "checks_reports",
 ]
 
