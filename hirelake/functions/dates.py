@@ -54,10 +54,16 @@ def _read(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern))
 
 
+def _read_iso(text: Column) -> Column:
+    """ISO text, seconds optional; without an offset it is in UTC (the session
+    zone, see ``session.SETTINGS``)."""
+    return F.try_to_timestamp(F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(?!:)", "$1:00"))
+
+
 def offset_instant(text: Column) -> Column:
     """The instant of a text with an offset; NULL for every other text."""
     return F.when(text.endswith("+0000"), _read(text, UTC_TEXT_READ)).when(
-        text.rlike(ISO_WITH_OFFSET), F.try_to_timestamp(text)
+        text.rlike(ISO_WITH_OFFSET), _read_iso(text)
     )
 
 
@@ -69,7 +75,7 @@ def report_instant(text: Column) -> Column:
         .when(day_only, _read(text, DAY_READ))
         .when(
             text.rlike(ISO_WITH_OFFSET) | text.rlike(ISO_WITHOUT_OFFSET),
-            F.try_to_timestamp(text),
+            _read_iso(text),
         )
     )
 

@@ -94,11 +94,23 @@ def json_in_response(text: Column) -> Column:
     return F.when(array != "", array).otherwise(inner)
 
 
+def _single_value_kind(payload: Column) -> Column:
+    """Type of the one JSON value a text holds; NULL if it is anything else.
+
+    Parsers stop after the first value, so the text is tried as a member and
+    as an element: only a single complete value is valid in both places.
+    """
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
+    element = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    kind = F.schema_of_variant(F.try_variant_get(member, "$.v", "variant"))
+    return F.when(element.isNotNull(), kind)
+
+
 def parsed_list(text: Column) -> Column:
     """Response text -> array of postings; a lone object is a list of one.
-    NULL for anything else.  Variant parsing decides what is valid JSON."""
+    NULL for anything else."""
     payload = json_in_response(text)
-    kind = F.schema_of_variant(F.try_parse_json(payload))
+    kind = _single_value_kind(payload)
     usable = F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
     return F.when(usable, F.from_json(payload, POSTING_LIST))
 

@@ -37,19 +37,17 @@ def batch_rows(inputs: Inputs, size: int) -> DataFrame:
     )
 
 
-_KIND = F.col("batch_id") % 5
-
-
 def responses(inputs: Inputs) -> DataFrame:
     """Answers to the batches: four ways of wrapping an array, and garbage.
     Some answers are empty lists, some calls failed, some are missing."""
+    kind = F.col("batch_id") % 5
     answer = F.replace("jobs_json", F.lit('"company":"Supplier'), F.lit('"company":"Vendor'))
     answer = F.when(F.col("batch_id") % 7 == 6, F.lit("[]")).otherwise(answer)
     text = (
-        F.when(_KIND == 0, F.concat(F.lit(" \n"), answer))
-        .when(_KIND == 1, F.concat(F.lit("Sure:\n```json\n"), answer, F.lit("\n```\nDone.")))
-        .when(_KIND == 2, F.concat(F.lit("```\n"), answer, F.lit("\n``` more ``` [1]")))
-        .when(_KIND == 3, F.concat(F.lit("Here they are: "), answer, F.lit(" That is all.")))
+        F.when(kind == 0, F.concat(F.lit(" \n"), answer))
+        .when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), answer, F.lit("\n```\nDone.")))
+        .when(kind == 2, F.concat(F.lit("```\n"), answer, F.lit("\n``` more ``` [1]")))
+        .when(kind == 3, F.concat(F.lit("Here they are: "), answer, F.lit(" That is all.")))
         .otherwise(F.concat(F.lit("No list {"), F.col("n").cast("string")))
     )
     failed = F.when(F.col("batch_id") % 11 == 10, F.lit("timed out"))

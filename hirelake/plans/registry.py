@@ -15,7 +15,7 @@ MODULES = [
     "checks_payloads",
     "checks_pages",
     "checks_models",
-#    "checks_reports",
+    "checks_reports",
 ]
 
 

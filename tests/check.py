@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import sys
 import time
 import traceback
@@ -31,6 +32,8 @@ def main() -> int:
     con = duck(sf_dir)
     queries, sql = contract.queries(), contract.oracle_sql()
     bad = 0
+    if names and names[0].startswith("@"):
+        names = list(importlib.import_module(f"hirelake.plans.checks_{names[0][1:]}").QUERIES) + names[1:]
     for name in names or queries:
         started = time.time()
         try:
