@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,20 +41,31 @@ FOREIGN_WORDS = [
     "israel", "tel aviv",
 ]
 
-_FOREIGN_PATTERN = "|".join(re.escape(word).replace(r"\ ", " ") for word in FOREIGN_WORDS)
+def _word_pattern(words: list[str]) -> str:
+    """One alternative per first letter, so few are tried at each character."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in tails.items())
+
+
+_FOREIGN_PATTERN = _word_pattern(FOREIGN_WORDS)
 
 
 def is_us_location(location: Column) -> Column:
-    """First matching test decides; all word tests are plain substring tests."""
-    text = strip(F.lower(location))
+    """False only for a foreign word that no sign of the United States outweighs.
+
+    All word tests are plain substring tests.  The foreign words come first in
+    the condition: for most rows it is the only part that is evaluated.
+    """
+    lowered = F.lower(location)
     code = F.upper(strip(F.substring_index(location, ",", -1)))
-    names_country = text.contains("united states")
-    verdict = (
-        F.when(text.isin(OPEN_LOCATIONS), F.lit(True))
-        .when(text.contains("remote") & (text.contains("us") | names_country), F.lit(True))
-        .when(location.contains(",") & code.isin(STATE_CODES), F.lit(True))
-        .when(names_country | text.contains(", us"), F.lit(True))
-        .when(text.rlike(_FOREIGN_PATTERN), F.lit(False))
-        .otherwise(F.lit(True))
+    names_country = lowered.contains("united states")
+    outweighed = (
+        names_country
+        | lowered.contains(", us")
+        | (lowered.contains("remote") & lowered.contains("us"))
+        | (location.contains(",") & code.isin(STATE_CODES))
+        | strip(lowered).isin(OPEN_LOCATIONS)
     )
-    return F.coalesce(verdict, F.lit(True))
+    return F.coalesce(~(lowered.rlike(_FOREIGN_PATTERN) & ~outweighed), F.lit(True))

@@ -136,7 +136,7 @@ def page_links(pages: DataFrame, pattern: str = LINK_PATTERN) -> DataFrame:
     found = pages.select("page_id", _anchors("html", "url").alias("anchors"))
     unique = _with_unique_links(found, F.col("anchors"), pattern)
     return unique.select("page_id", F.posexplode("links").alias("pos", "link")).select(
-        "page_id", "pos", "link.text", "link.url"
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "link.text", "link.url"
     )
 
 

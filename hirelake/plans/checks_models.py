@@ -33,6 +33,7 @@ def batch_rows(inputs: Inputs, size: int) -> DataFrame:
     return (
         batches(inputs, size)
         .select("source", "batch_id", "n", F.posexplode(sent).alias("item_no", "job"))
+        .withColumn("item_no", F.col("item_no").cast("bigint"))
         .select("source", "batch_id", "n", "item_no", "job.title", "job.location", "job.url")
     )
 

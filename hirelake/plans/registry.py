@@ -26,12 +26,16 @@ def _all() -> dict[str, tuple]:
     return found
 
 
+def builders() -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {name: build for name, (build, _) in _all().items()}
+
+
 def _on_folder(build) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: build(Inputs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_folder(build) for name, (build, _) in _all().items()}
+    return {name: _on_folder(build) for name, build in builders().items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,14 @@
 """Input tables for the registered queries, derived from the given tables.
 
-Each view is one SQL text that Spark and DuckDB both read, so that both sides
-of a check start from the same rows.  Only inputs are shared: what an operator
+Each view is one SQL text that Spark and DuckDB both read (but for how an array
+is indexed), so that both sides of a check start from the same rows.  Only inputs are shared: what an operator
 does is written twice, as DataFrame code and as independent SQL.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.session import apply_settings
@@ -21,21 +23,14 @@ _CLOCK = (
     "lpad(cast(l_suppkey % 60 AS string), 2, '0'), ':00')"
 )
 
-POSTINGS = f"""
+_POSTINGS = f"""
 SELECT
   CASE WHEN l_orderkey % 97 = 0 THEN ''
        WHEN l_linenumber % 5 = 0 THEN concat('  ', p_name, chr(9), ' ')
        WHEN l_linenumber % 3 = 0 THEN upper(p_name)
        ELSE p_name END AS title,
   CASE WHEN l_suppkey % 7 = 0 THEN concat(s_name, ' & Sons') ELSE s_name END AS company,
-  CASE l_orderkey % 16
-       WHEN 0 THEN 'Austin, TX' WHEN 1 THEN 'Remote' WHEN 2 THEN ''
-       WHEN 3 THEN 'London, United Kingdom' WHEN 4 THEN 'Milwaukee, Wisconsin'
-       WHEN 5 THEN 'Remote - Australia' WHEN 6 THEN 'Toronto, CA'
-       WHEN 7 THEN 'Bengaluru, India' WHEN 8 THEN 'Indianapolis, Indiana'
-       WHEN 9 THEN 'Dublin, OH' WHEN 10 THEN 'Dublin, Ohio' WHEN 11 THEN 'Not specified'
-       WHEN 12 THEN 'Berlin, DE' WHEN 13 THEN 'Seattle, WA, United States'
-       WHEN 14 THEN 'Santa Fe, New Mexico' ELSE NULL END AS location,
+  @places[l_orderkey % 16] AS location,
   concat('https://jobs.example.com/', cast(l_partkey AS string), '-',
          cast(l_suppkey AS string), '-', {_DAY}, '-',
          cast(cast(round(l_extendedprice * 100) AS bigint) AS string), '-',
@@ -45,15 +40,10 @@ SELECT
          l_returnflag, l_linestatus) AS url,
   concat(p_type, ' work at ', s_name, '. ', repeat(concat(p_name, ' & more. '), p_size % 20))
     AS description,
-  CASE l_partkey % 8
-       WHEN 0 THEN concat({_DAY}, {_CLOCK}, '+0000')
-       WHEN 1 THEN concat({_DAY}, {_CLOCK}, 'Z')
-       WHEN 2 THEN concat({_DAY}, {_CLOCK}, '-05:00')
-       WHEN 3 THEN {_DAY}
-       WHEN 4 THEN ''
-       WHEN 5 THEN 'garbage'
-       WHEN 6 THEN concat({_DAY}, {_CLOCK})
-       ELSE NULL END AS date_posted,
+  CASE WHEN l_partkey % 8 = 4 THEN '' WHEN l_partkey % 8 = 5 THEN 'garbage'
+       WHEN l_partkey % 8 = 7 THEN NULL
+       ELSE concat({_DAY}, CASE WHEN l_partkey % 8 = 3 THEN '' ELSE {_CLOCK} END,
+                   @zones[l_partkey % 8]) END AS date_posted,
   concat('src', cast(s_nationkey AS string)) AS source,
   CASE p_size % 4 WHEN 0 THEN 'Full-time' WHEN 1 THEN 'Part-time'
        WHEN 2 THEN '' ELSE 'Contract' END AS job_type,
@@ -66,6 +56,31 @@ JOIN part ON l_partkey = p_partkey
 JOIN supplier ON l_suppkey = s_suppkey
 """
 
+_PLACES = [
+    "Austin, TX", "Remote", "", "London, United Kingdom", "Milwaukee, Wisconsin",
+    "Remote - Australia", "Toronto, CA", "Bengaluru, India", "Indianapolis, Indiana",
+    "Dublin, OH", "Dublin, Ohio", "Not specified", "Berlin, DE", "Seattle, WA, United States",
+    "Santa Fe, New Mexico", None,
+]
+_ZONES = ["+0000", "Z", "-05:00", "", "", "", "", ""]
+
+
+def _postings(opening: str, closing: str, first: int, index: str) -> str:
+    """The view with its two lookups written for one engine's arrays."""
+    text = _POSTINGS
+    for name, values in [("places", _PLACES), ("zones", _ZONES)]:
+        array = ", ".join("NULL" if value is None else f"'{value}'" for value in values)
+        text = re.sub(
+            rf"@{name}\[(.*?)\]",
+            rf"{opening}{array}{closing}[cast(\1 AS {index}) + {first}]",
+            text,
+        )
+    return text
+
+
+SPARK_POSTINGS = _postings("array(", ")", 0, "int")
+POSTINGS = _postings("[", "]", 1, "bigint")
+
 # Orders as landed pages: 60 pages a source, so sources grow with the table.
 FETCH_PAGES = """
 SELECT source, src_no, provider, page_no,
@@ -201,7 +216,7 @@ class Inputs:
         return self.spark.sql(text)
 
     def postings(self) -> DataFrame:
-        return self.view(POSTINGS, "lineitem", "part", "supplier")
+        return self.view(SPARK_POSTINGS, "lineitem", "part", "supplier")
 
     def fetch_pages(self) -> DataFrame:
         return self.view(FETCH_PAGES, "orders")

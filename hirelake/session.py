@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Long text expressions make methods that the JVM would refuse to compile
+    # (over 8000 bytes); above that limit let Spark split them instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Pages are large rows: small Arrow batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -31,8 +31,31 @@ def duck(sf_dir: str):
     return con
 
 
+# Column types that hold the same values on both sides.
+TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "BOOLEAN": "boolean",
+}
+
+
+def type_differences(spark_df, con, sql: str) -> list[str]:
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    expected = {row[0]: TYPES.get(row[1], row[1]) for row in described}
+    return [
+        f"{name}: {kind} <> {expected.get(name)}"
+        for name, kind in spark_df.dtypes
+        if kind != expected.get(name)
+    ]
+
+
 def compare(spark_df, con, sql: str) -> str | None:
     """None when both agree, else what differs."""
+    told = type_differences(spark_df, con, sql)
+    if told:
+        return f"types {told}"
     left_columns, left = _sorted_rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     result = con.execute(sql)
     names = [d[0] for d in result.description]
