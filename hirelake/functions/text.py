@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,3 +81,9 @@ def cut(text: Column, length: int, marker: str) -> Column:
     return F.when(
         F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit(marker))
     ).otherwise(text)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time per row, for
+    costly values that ``use`` names more than once."""
+    return F.transform(F.array(value), use)[0]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.position import running_position
-from hirelake.functions.text import blank_to_null, filled, or_empty, strip
+from hirelake.functions.text import blank_to_null, filled, once, or_empty, strip
 from hirelake.schema import POSTING_FIELDS
 
 BATCH_SIZE = 3
@@ -82,16 +82,23 @@ def model_batches(
 def json_in_response(text: Column) -> Column:
     """The JSON part of a response: inside the last fence marked json, else
     inside the first pair of fences, then from the first [ to the last ]."""
-    text = strip(or_empty(text))
-    marked = F.substring_index(F.substring_index(text, "```json", -1), "```", 1)
-    fenced = F.split_part(text, F.lit("```"), F.lit(2))
-    inner = (
-        F.when(text.contains("```json"), strip(marked))
-        .when(text.contains("```"), strip(fenced))
-        .otherwise(text)
-    )
-    array = F.regexp_extract(inner, r"(?s)\[.*\]", 0)
-    return F.when(array != "", array).otherwise(inner)
+
+    def unfenced(t: Column) -> Column:
+        marked = F.substring_index(F.substring_index(t, "```json", -1), "```", 1)
+        fenced = F.split_part(t, F.lit("```"), F.lit(2))
+        return (
+            F.when(t.contains("```json"), strip(marked))
+            .when(t.contains("```"), strip(fenced))
+            .otherwise(t)
+        )
+
+    def array_or_all(inner: Column) -> Column:
+        return once(
+            F.regexp_extract(inner, r"(?s)\[.*\]", 0),
+            lambda array: F.when(array != "", array).otherwise(inner),
+        )
+
+    return once(once(strip(or_empty(text)), unfenced), array_or_all)
 
 
 def _single_value_kind(payload: Column) -> Column:
@@ -109,10 +116,13 @@ def _single_value_kind(payload: Column) -> Column:
 def parsed_list(text: Column) -> Column:
     """Response text -> array of postings; a lone object is a list of one.
     NULL for anything else."""
-    payload = json_in_response(text)
-    kind = _single_value_kind(payload)
-    usable = F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
-    return F.when(usable, F.from_json(payload, POSTING_LIST))
+
+    def read(payload: Column) -> Column:
+        kind = _single_value_kind(payload)
+        usable = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+        return F.when(usable, F.from_json(payload, POSTING_LIST))
+
+    return once(json_in_response(text), read)
 
 
 def parse_responses(responses: DataFrame, sources: DataFrame) -> DataFrame:

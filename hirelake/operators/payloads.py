@@ -23,6 +23,7 @@ from hirelake.functions.text import (
     company_from_source,
     filled,
     join_filled,
+    once,
     or_empty,
     strip,
 )
@@ -398,11 +399,6 @@ SHAPES = {
 }
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated a single time per row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _by_provider(branch: Callable[[str, PayloadShape], Column]) -> Column:
     """The branch of the row's own provider; the others are not evaluated."""
     (first, shape), *rest = SHAPES.items()
@@ -417,7 +413,7 @@ def page_stats(payloads: DataFrame, keys: list[str] | None = None) -> DataFrame:
     total the site announced.  Input of the page cut-off; one scan."""
 
     def numbers(_: str, shape: PayloadShape) -> Column:
-        return _once(
+        return once(
             shape.parse(F.col("body")),
             lambda doc: F.struct(
                 F.coalesce(F.array_size(shape.kept(doc)), F.lit(0)).cast("bigint").alias("n_jobs"),
