@@ -151,12 +151,10 @@ def apply_responses(batches: DataFrame, responses: DataFrame) -> DataFrame:
         "batch_id",
         F.when(~filled(F.col("error")), parsed_list(F.col("text"))).alias("parsed"),
     )
-    chosen = batches.join(answers, ["source", "batch_id"], "left").select(
-        F.col("source").alias("from_source"),
-        "batch_id",
-        F.coalesce("parsed", F.from_json("jobs_json", POSTING_LIST)).alias("jobs"),
+    jobs = F.coalesce("parsed", F.from_json("jobs_json", POSTING_LIST))
+    rows = batches.join(answers, ["source", "batch_id"], "left").select(
+        F.col("source").alias("from_source"), "batch_id", F.posexplode(jobs).alias("item_no", "job")
     )
-    rows = chosen.select("from_source", "batch_id", F.posexplode("jobs").alias("item_no", "job"))
     fields = {name: F.col(f"job.{name}") for name in POSTING_FIELDS}
     fields["source"] = F.coalesce("job.source", "from_source")
     fields["job_type"] = or_empty(F.col("job.job_type"))

@@ -135,7 +135,10 @@ def page_links(pages: DataFrame, pattern: str = LINK_PATTERN) -> DataFrame:
     """One row per posting link: position (from 0), text and address."""
     found = pages.select("page_id", _anchors("html", "url").alias("anchors"))
     unique = _with_unique_links(found, F.col("anchors"), pattern)
-    return unique.select("page_id", F.posexplode("links").alias("pos", "link")).select(
+    # The plain explode would have the optimizer test the array's size below,
+    # and read every page twice for it.
+    rows = unique.select("page_id", F.posexplode_outer("links").alias("pos", "link"))
+    return rows.filter("link IS NOT NULL").select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "link.text", "link.url"
     )
 

@@ -50,27 +50,37 @@ def by_location(postings: DataFrame) -> DataFrame:
     return _counts(postings, "location")
 
 
+def _with_marker(postings: DataFrame, *columns: str) -> DataFrame:
+    """Rows counting 1 and a single row counting 0, so that a grand total
+    also comes out of an empty table without a second scan."""
+    rows = postings.select(*columns, F.lit(1).cast("bigint").alias("_one"))
+    empty = [F.lit(None).cast("string").alias(name) for name in columns]
+    marker = postings.sparkSession.range(1).select(*empty, F.lit(0).cast("bigint").alias("_one"))
+    return rows.unionByName(marker)
+
+
 def summary(postings: DataFrame) -> DataFrame:
     """Total, per-company and per-location counts from one pass."""
-    rows = postings.select("company", "location").groupingSets(
-        [["company"], ["location"], []], "company", "location"
+    counted = (
+        _with_marker(postings, "company", "location")
+        .groupingSets([["company"], ["location"], []], "company", "location")
+        .agg(F.sum("_one").alias("n_jobs"), F.grouping_id().alias("_set"))
     )
     facet = (
-        F.when(F.grouping_id() == 1, F.lit("company"))
-        .when(F.grouping_id() == 2, F.lit("location"))
+        F.when(F.col("_set") == 1, F.lit("company"))
+        .when(F.col("_set") == 2, F.lit("location"))
         .otherwise(F.lit("total"))
     )
-    return rows.agg(F.count(F.lit(1)).alias("n_jobs"), facet.alias("facet")).select(
-        "facet",
-        F.when(F.col("facet") == "company", F.col("company"))
-        .when(F.col("facet") == "location", F.col("location"))
-        .otherwise(
-            F.when(F.col("n_jobs") == 0, F.lit("No jobs found.")).otherwise(
-                F.lit("Total jobs found")
-            )
-        )
-        .alias("value"),
-        "n_jobs",
+    told = F.when(F.col("n_jobs") == 0, F.lit("No jobs found.")).otherwise(
+        F.lit("Total jobs found")
+    )
+    value = (
+        F.when(F.col("_set") == 1, F.col("company"))
+        .when(F.col("_set") == 2, F.col("location"))
+        .otherwise(told)
+    )
+    return counted.filter("_set = 3 OR n_jobs > 0").select(
+        facet.alias("facet"), value.alias("value"), "n_jobs"
     )
 
 
@@ -164,17 +174,20 @@ def search_view(
 
 def view_counts(visible: DataFrame) -> DataFrame:
     """Visible rows per company and over all, with the companies shown."""
-    rolled = visible.rollup("company").agg(
-        F.count(F.lit(1)).alias("visible_jobs"),
-        F.count_distinct("company").alias("visible_companies"),
-        F.grouping("company").alias("is_total"),
+    rolled = (
+        _with_marker(visible, "company")
+        .rollup("company")
+        .agg(
+            F.sum("_one").alias("visible_jobs"),
+            F.count_distinct(F.when(F.col("_one") == 1, F.col("company"))).alias(
+                "visible_companies"
+            ),
+            F.grouping("company").alias("_total"),
+        )
     )
-    return rolled.select(
-        F.when(F.col("is_total") == 1, F.lit("All Companies"))
-        .otherwise(F.col("company"))
-        .alias("company"),
-        "visible_jobs",
-        "visible_companies",
+    name = F.when(F.col("_total") == 1, F.lit("All Companies")).otherwise(F.col("company"))
+    return rolled.filter("_total = 1 OR visible_jobs > 0").select(
+        name.alias("company"), "visible_jobs", "visible_companies"
     )
 
 

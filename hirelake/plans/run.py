@@ -42,10 +42,11 @@ def run_payloads(
             F.col("name").alias("source"), "error"
         )
     )
+    numbers = sources.select(F.col("name").alias("source"), "src_idx")
     attempts = (
-        limits.select("source")
-        .join(errors, "source", "left")
-        .join(sources.select(F.col("name").alias("source"), "src_idx"), "source")
+        limits.select("source", F.lit(None).cast("string").alias("error"))
+        .unionByName(errors)
+        .join(numbers, "source")
         .select("src_idx", "error")
     )
     final = standardize(clean_postings(postings, as_of, max_age_days))

@@ -20,7 +20,6 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Pages are large rows: small Arrow batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 

@@ -8,10 +8,25 @@ nothing, whatever happened to the first attempt.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.operators.novelty import fresh_seen_rows, seen_count
+from hirelake.schema import SEEN
+
+
+@contextmanager
+def _overwriting(spark: SparkSession, partitions: str):
+    """Table inserts take this mode from the session only, so set it there."""
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, partitions)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class SeenTable:
@@ -19,6 +34,9 @@ class SeenTable:
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
 
     def create(self) -> SeenTable:
+        """Create the table if it is absent; runs already on disk are kept."""
+        no_rows = self.spark.createDataFrame([], SEEN)
+        no_rows.write.mode("append").partitionBy("run_id").parquet(self.path)
         self.spark.sql(
             f"""CREATE TABLE IF NOT EXISTS {self.name} (
                 dedup_key STRING NOT NULL, title STRING, company STRING, url STRING,
@@ -41,17 +59,17 @@ class SeenTable:
         """
         before = self.read().filter(F.col("run_id") != F.lit(run_id))
         fresh = fresh_seen_rows(postings, before, as_of, run_id)
-        (
-            fresh.repartition(self.buckets, "dedup_key")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(self.name)
-        )
+        # "dynamic": replace the partitions that are written, keep the others.
+        with _overwriting(self.spark, "dynamic"):
+            fresh.repartition(self.buckets, "dedup_key").write.mode("overwrite").insertInto(
+                self.name
+            )
         return self.read().filter(F.col("run_id") == F.lit(run_id))
 
     def count(self) -> DataFrame:
         return seen_count(self.read())
 
     def reset(self) -> None:
-        self.spark.sql(f"TRUNCATE TABLE {self.name}")
-        self.spark.sql(f"MSCK REPAIR TABLE {self.name} SYNC PARTITIONS")
+        """Overwrite all partitions with nothing."""
+        with _overwriting(self.spark, "static"):
+            self.spark.createDataFrame([], SEEN).write.mode("overwrite").insertInto(self.name)
