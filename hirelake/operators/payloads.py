@@ -457,8 +457,11 @@ def flatten(payloads: DataFrame, provider: str, as_of=None) -> DataFrame:
         .withColumn("doc", shape.parse(F.col("body")))
         .select(
             "source", "provider", "src_idx", "page_no", "base_url", "site_number",
-            F.posexplode(shape.items(F.col("doc"))).alias("item_no", "job"),
+            # Outer: else the optimizer adds a test of the array's size below,
+            # and a body that is the array itself is parsed again for it.
+            F.posexplode_outer(shape.items(F.col("doc"))).alias("item_no", "job"),
         )
+        .filter("item_no IS NOT NULL")
     )
     if shape.keep is not None:
         rows = rows.filter(shape.keep(F.col("job")))

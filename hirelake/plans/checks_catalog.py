@@ -89,12 +89,12 @@ def round_trip(inputs: Inputs, write, read):
 
 def run_history(inputs: Inputs):
     """A history row per day of events, each day a run over that day's finds."""
-    cycles = inputs.cycles().withColumn("run_id", F.dayofyear(F.col("cycle").cast("date")))
+    cycles = inputs.cycles().withColumn("run_id", F.dayofyear("cycle"))
     firsts = novelty.first_cycles(cycles).groupBy("cycle").agg(F.count(F.lit(1)).alias("new_job_count"))
     errors = (
         inputs.table("events")
         .filter("event_type = 'error'")
-        .groupBy(F.to_date("ts").cast("string").alias("cycle"))
+        .groupBy(F.to_date("ts").alias("cycle"))
         .agg(F.count(F.lit(1)).alias("error_count"), F.max("props").alias("last_error"))
     )
     runs = cycles.groupBy("run_id", "cycle").agg(F.count_distinct("dedup_key").alias("job_count"))
@@ -203,10 +203,10 @@ QUERIES = {
         f"""WITH cycles AS ({CYCLES}),
         firsts AS (SELECT dedup_key, min(cycle) AS cycle FROM cycles GROUP BY 1),
         new AS (SELECT cycle, count(*) AS n FROM firsts GROUP BY 1),
-        failed AS (SELECT CAST(CAST(ts AS date) AS varchar) AS cycle, count(*) AS n,
+        failed AS (SELECT CAST(ts AS date) AS cycle, count(*) AS n,
                      max(props) AS last_error
                    FROM events WHERE event_type = 'error' GROUP BY 1)
-        SELECT CAST(dayofyear(CAST(c.cycle AS date)) AS bigint) AS run_id, c.cycle AS finished_at,
+        SELECT CAST(dayofyear(c.cycle) AS bigint) AS run_id, c.cycle::varchar AS finished_at,
           count(DISTINCT dedup_key) AS job_count, coalesce(any_value(new.n), 0) AS new_job_count,
           coalesce(any_value(failed.n), 0) AS error_count, any_value(failed.last_error) AS last_error
         FROM cycles AS c LEFT JOIN new ON c.cycle = new.cycle

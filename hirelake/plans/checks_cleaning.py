@@ -201,18 +201,20 @@ QUERIES = {
         UNION ALL SELECT 'after', count(*) FROM seen WHERE false""",
     ),
     "cycle_new": (
-        lambda i: novelty.cycle_new(i.cycles()),
+        lambda i: novelty.cycle_new(i.cycles()).withColumn("cycle", F.col("cycle").cast("string")),
         f"""WITH cycles AS ({CYCLES}),
         firsts AS (SELECT dedup_key, min(cycle) AS cycle FROM cycles GROUP BY dedup_key)
-        SELECT c.cycle, count(DISTINCT c.dedup_key) AS n_keys,
+        SELECT c.cycle::varchar AS cycle, count(DISTINCT c.dedup_key) AS n_keys,
           count(DISTINCT f.dedup_key) AS n_new
         FROM cycles AS c LEFT JOIN firsts AS f
           ON c.dedup_key = f.dedup_key AND c.cycle = f.cycle
         GROUP BY c.cycle""",
     ),
     "first_cycles": (
-        lambda i: novelty.first_cycles(i.cycles()),
+        lambda i: novelty.first_cycles(i.cycles()).withColumn(
+            "cycle", F.col("cycle").cast("string")
+        ),
         f"""WITH cycles AS ({CYCLES})
-        SELECT dedup_key, min(cycle) AS cycle FROM cycles GROUP BY dedup_key""",
+        SELECT dedup_key, min(cycle)::varchar AS cycle FROM cycles GROUP BY dedup_key""",
     ),
 }

@@ -143,7 +143,7 @@ FROM customer
 # Events as repeated finds of the same postings, one cycle a day.
 CYCLES = """
 SELECT concat(cast(user_id AS string), '|', event_type) AS dedup_key,
-       cast(cast(ts AS date) AS string) AS cycle
+       cast(ts AS date) AS cycle
 FROM events
 """
 

@@ -19,7 +19,7 @@ SETTINGS = {
     # (over 8000 bytes); above that limit let Spark split them instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Pages are large rows: small Arrow batches keep Python workers small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
 
