@@ -5,7 +5,7 @@
 The operators read landed tables, so the input views are landed first: each is
 written once as Parquet in as many files as there are threads, and the time for
 that is reported apart (``landing_sec``).  Then every query runs once unmeasured
-and three times measured, the median counts.  Results are written in full to a
+and twice measured, the median counts.  Results are written in full to a
 sink that discards them, so all columns of all rows are computed.
 
 ``BENCH_LANDED=0`` reads the given files and derives the views in every run.
@@ -78,7 +78,7 @@ class LandedInputs(Inputs):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(
         "bench",
