@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions import dates
-from hirelake.functions.text import company_slug, cut, filled, or_empty, strip
+from hirelake.functions.text import company_slug, cut, escape_markup, filled, or_empty, strip
 from hirelake.operators.cleaning import with_key
 from hirelake.schema import ORDINAL, POSTING_FIELDS
 
@@ -265,7 +265,8 @@ def preview(postings: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
 
 
 def with_short_description(postings: DataFrame) -> DataFrame:
-    text = F.col("description")
+    """Shortened after escaping, as the text is meant for a page."""
+    text = escape_markup(F.col("description"))
     return postings.withColumn("short_description", cut(text, SHORT_DESCRIPTION, "..."))
 
 

@@ -227,8 +227,10 @@ QUERIES = {
     ),
     "short_desc": (
         lambda i: reporting.with_short_description(i.postings()).select("url", "short_description"),
-        f"""WITH postings AS ({POSTINGS}) SELECT url, CASE WHEN length(description) > 160
-        THEN left(description, 160) || '...' ELSE description END AS short_description FROM postings""",
+        f"""WITH postings AS ({POSTINGS}),
+        escaped AS (SELECT url, replace(description, '&', '&amp;') AS d FROM postings)
+        SELECT url, CASE WHEN length(d) > 160 THEN left(d, 160) || '...' ELSE d END
+          AS short_description FROM escaped""",
     ),
     "date_display": (
         lambda i: reporting.with_date_display(i.postings(), "UTC")

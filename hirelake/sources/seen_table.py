@@ -57,14 +57,16 @@ class SeenTable:
         The returned frame reads the written partition, so the anti-join is
         not evaluated again against the grown table.
         """
-        before = self.read().filter(F.col("run_id") != F.lit(run_id))
+        # A micro-batch has a session of its own; the write takes its settings.
+        spark = postings.sparkSession
+        before = spark.table(self.name).filter(F.col("run_id") != F.lit(run_id))
         fresh = fresh_seen_rows(postings, before, as_of, run_id)
         # "dynamic": replace the partitions that are written, keep the others.
-        with _overwriting(self.spark, "dynamic"):
+        with _overwriting(spark, "dynamic"):
             fresh.repartition(self.buckets, "dedup_key").write.mode("overwrite").insertInto(
                 self.name
             )
-        return self.read().filter(F.col("run_id") == F.lit(run_id))
+        return spark.table(self.name).filter(F.col("run_id") == F.lit(run_id))
 
     def count(self) -> DataFrame:
         return seen_count(self.read())

@@ -86,8 +86,8 @@ def run_summary(
     )
 
 
-def append_run(summary: DataFrame, path: str, mode: str = "append") -> None:
-    summary.write.mode(mode).parquet(path)
+def append_run(summary: DataFrame, path: str) -> None:
+    summary.write.mode("append").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
 from hirelake.operators import cleaning
-from hirelake.sources import sinks
+from hirelake.schema import CATALOG_ENTRY, RAW_PAYLOAD
+from hirelake.sources import catalog, sinks
 from hirelake.sources.seen_table import SeenTable
 from hirelake.streaming import cycles
 
@@ -20,8 +23,7 @@ def test_cycles_surface_only_new_rows_and_resume(spark, posting_rows, tmp_path):
     def run():
         stream = cycles.posting_stream(spark, f"{landing}/*", files_per_cycle=1)
         cycles.run_cycles(
-            stream, table, str(tmp_path / "out"), str(tmp_path / "runs"),
-            str(tmp_path / "checkpoint"), lambda _: AS_OF,
+            stream, table, str(tmp_path / "out"), str(tmp_path / "checkpoint"), lambda _: AS_OF
         ).awaitTermination(120)
 
     land(posting_rows, landing, 1, "Dev", "Ops", "dev", "")
@@ -31,12 +33,42 @@ def test_cycles_surface_only_new_rows_and_resume(spark, posting_rows, tmp_path):
     run()
     new = spark.read.option("basePath", str(tmp_path / "out/new")).parquet(str(tmp_path / "out/new"))
     assert sorted(r.title for r in new.collect()) == ["Dev", "Ops", "PM", "QA"]
-    history = sinks.read_runs(spark, str(tmp_path / "runs/*")).orderBy("run_id").collect()
+    history = sinks.read_runs(spark, str(tmp_path / "out/runs/*")).orderBy("run_id").collect()
     assert [r.new_job_count for r in history][-1] == 1 and sum(r.job_count for r in history) == 7
     assert table.count().first()[0] == 4
     spark.sql("DROP TABLE seen_stream")
 
 
+def test_payload_cycles_report_failures_and_go_on(spark, tmp_path):
+    entries = spark.createDataFrame(
+        [(0, "Yelp Careers", "u", "api", "https://api.lever.co/v0/postings/yelp", None, None, None, None)],
+        CATALOG_ENTRY,
+    )
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    table = SeenTable(spark, "seen_payloads", str(tmp_path / "seen"), buckets=4).create()
+    for n, titles in enumerate((["Dev"], ["Dev"], ["Dev", "Ops"])):
+        body = json.dumps([{"text": t} for t in titles])
+        rows = [("Yelp Careers", 1, n != 0, "timeout" if n == 0 else "", body, None)]
+        spark.createDataFrame(rows, RAW_PAYLOAD).coalesce(1).write.parquet(f"{landing}/cycle={n}")
+
+    def clock(batch_id):
+        if batch_id == 1:
+            raise ValueError("no clock")
+        return AS_OF
+
+    cycles.run_cycles(
+        cycles.payload_stream(spark, f"{landing}/*", 1), table, out, str(tmp_path / "checkpoint"),
+        clock, sources=catalog.build_sources(entries), keep_going=True,
+    ).awaitTermination(120)
+    runs = sinks.read_runs(spark, f"{out}/runs/*").orderBy("run_id").collect()
+    assert [(r.job_count, r.new_job_count, r.error_count) for r in runs] == [(0, 0, 1), (0, 0, 1), (2, 2, 0)]
+    assert runs[0].last_error == "API fetch failed for Yelp Careers: timeout"
+    assert "no clock" in runs[1].last_error
+    assert spark.read.parquet(f"{out}/failed/batch=1").count() == 1
+    assert [r.state for r in spark.read.parquet(f"{out}/status/batch=0").collect()] == ["error"]
+    spark.sql("DROP TABLE seen_payloads")
+
+
 def test_keys_once_ever_survive_a_restart(spark, posting_rows, tmp_path):
     landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
 
