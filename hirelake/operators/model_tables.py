@@ -51,6 +51,15 @@ def bypasses_model(page_type: Column, skip_normalization: bool = False) -> Colum
     return F.lit(skip_normalization) | (page_type == "api")
 
 
+def with_bypass(
+    postings: DataFrame, sources: DataFrame, skip_normalization: bool = False
+) -> DataFrame:
+    """Add ``bypass``: whether a row passes normalization unchanged."""
+    types = sources.select(F.col("name").alias("source"), F.col("type").alias("_type"))
+    bypass = bypasses_model(F.coalesce("_type", F.lit("career_page")), skip_normalization)
+    return postings.join(types, "source", "left").withColumn("bypass", bypass).drop("_type")
+
+
 def model_batches(
     postings: DataFrame,
     chunk: Column,

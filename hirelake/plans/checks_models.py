@@ -147,7 +147,24 @@ def _sql_batches(size: int) -> str:
 
 _ANSWERED = """(batch_id % 13 <> 12 AND batch_id % 5 <> 4 AND batch_id % 11 <> 10)"""
 
+def bypassed(inputs: Inputs) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["api", "browser", "html"])), F.col("n_nationkey") % 3 + 1)
+    sites = _sites(inputs).join(
+        inputs.table("nation").select(
+            F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"),
+            kind.alias("type"),
+        ),
+        "name",
+    )
+    return model_tables.with_bypass(inputs.postings(), sites).select("source", "url", "bypass")
+
+
 QUERIES = {
+    "model_bypass": (
+        bypassed,
+        f"""WITH postings AS ({POSTINGS})
+        SELECT source, url, src_idx % 3 = 0 AS bypass FROM postings""",
+    ),
     "extract_requests": (
         requests,
         """SELECT 'user ' || (page_id * 7) AS source, url,

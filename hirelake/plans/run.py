@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.operators import paging, payloads
+from hirelake.operators import pages, paging, payloads
 from hirelake.operators.cleaning import MAX_AGE_DAYS, clean_postings
+from hirelake.operators.model_tables import api_or_model
 from hirelake.operators.reporting import source_status, standardize
 
 
@@ -27,22 +28,46 @@ def run_payloads(
     sources: DataFrame,
     as_of,
     cards: DataFrame | None = None,
+    listings: DataFrame | None = None,
+    extracted: DataFrame | None = None,
     max_age_days: int = MAX_AGE_DAYS,
 ) -> Run:
-    """Landed payloads and cards -> postings, final rows, errors and status."""
+    """Landed rows -> postings, final rows, errors and status.
+
+    ``cards`` are browser cards, ``listings`` server-rendered listing pages and
+    ``extracted`` postings read from model responses; the last only count for
+    sources without flattened rows.
+    """
     landed = payloads.attach_sources(raw_payload, sources)
-    limits = paging.page_limits(payloads.page_stats(landed))
-    kept = paging.drop_failed(landed, limits)
-    parts = [payloads.flatten_all(kept, as_of)]
+    numbers = sources.select(F.col("name").alias("source"), F.col("src_idx").cast("bigint"))
+    stats = payloads.page_stats(landed)
+    if listings is not None:
+        stats = stats.unionByName(pages.listing_stats(listings))
+    limits = paging.page_limits(stats)
+    parts = [payloads.flatten_all(paging.drop_failed(landed, limits), as_of)]
     if cards is not None:
         parts.append(payloads.flatten_cards(cards, sources))
+    if listings is not None:
+        rows = pages.listing_postings(paging.drop_failed(listings, limits)).drop("total")
+        parts.append(
+            rows.join(numbers, "source")
+            .withColumn("provider", F.lit("servicenow"))
+            .withColumn("item_no", F.col("item_no").cast("bigint"))
+        )
     postings = payloads.union_postings(*parts)
+    if extracted is not None:
+        postings = api_or_model(
+            postings,
+            extracted.join(numbers, "source")
+            .withColumn("page_no", F.col("batch_id"))
+            .withColumn("provider", F.lit("html"))
+            .drop("batch_id"),
+        )
     errors = paging.failed_sources(limits).unionByName(
         sources.filter(F.col("error").isNotNull()).select(
             F.col("name").alias("source"), "error"
         )
     )
-    numbers = sources.select(F.col("name").alias("source"), "src_idx")
     attempts = (
         limits.select("source", F.lit(None).cast("string").alias("error"))
         .unionByName(errors)

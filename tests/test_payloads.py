@@ -4,7 +4,7 @@ import pytest
 
 from hirelake.operators import payloads
 from hirelake.plans.run import run_payloads
-from hirelake.schema import CATALOG_ENTRY, RAW_PAYLOAD
+from hirelake.schema import CATALOG_ENTRY, HTML_PAGE, RAW_PAYLOAD
 from hirelake.sources import catalog
 
 AS_OF = "2026-03-10 12:00:00"
@@ -107,6 +107,7 @@ def test_whole_run(spark):
             (1, "Yelp Careers", "u", "api", "https://api.lever.co/v0/postings/yelp", None, None, None, None),
             (2, "Later Careers", "u", "api", "https://api.lever.co/v0/postings/x", None, None, None, None),
             (3, "Lost", "", "api", "", None, None, None, None),
+            (4, "ServiceNow Careers", "u", "api", "https://careers.servicenow.com/jobs/", None, None, None, None),
         ],
         CATALOG_ENTRY,
     )
@@ -119,12 +120,22 @@ def test_whole_run(spark):
         ],
         RAW_PAYLOAD,
     )
-    run = run_payloads(landed, catalog.build_sources(entries), AS_OF)
+    html = """<p class="count">1 to 1 of 1</p><div class="job-listing"><p><i><a href="/jobs/7">Pilot</a></i></p></div>"""
+    listings = spark.createDataFrame([("ServiceNow Careers", 1, "u", True, 200, "", html)], HTML_PAGE)
+    extracted = spark.createDataFrame(
+        [("Cook", "Later Careers", 0, 0), ("Never", "GitHub Careers", 0, 0)],
+        "title string, source string, batch_id bigint, item_no bigint",
+    )
+    sources = catalog.build_sources(entries)
+    full = run_payloads(landed, sources, AS_OF, listings=listings, extracted=extracted)
+    assert sorted((r.title, r.src_idx) for r in full.final.collect()) == [("Cook", 2), ("Dev", 0), ("Pilot", 4)]
+    run = run_payloads(landed, sources, AS_OF)
     assert run.postings.count() == 4
     assert [(r.title, r.company) for r in run.final.collect()] == [("Dev", "GitHub")]
     assert [(r.name, r.state, r.jobs, r.error) for r in run.status.collect()] == [
         ("GitHub Careers", "done", 4, ""),
         ("Later Careers", "waiting", 0, ""),
         ("Lost", "error", 0, "Lost"),
+        ("ServiceNow Careers", "waiting", 0, ""),
         ("Yelp Careers", "error", 0, "API returned HTTP 503"),
     ]
