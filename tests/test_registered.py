@@ -6,9 +6,11 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as contract
+from hirelake.plans import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+SQL = registry.oracle_sql()
+QUERIES = {name: contract.queries()[name] for name in registry.queries()}
 
 
 @pytest.fixture(scope="module")
