@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe
-from hirelake.llm.common import table
+from hirelake.llm import bpe, rans, words
+from hirelake.llm.common import landed, table
 from hirelake.session import apply_settings
 
 
@@ -25,9 +25,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = words.encode_words(table(spark, sf_dir, "documents"), path, end_id=2)
+    return rans.read_digests(rans.write_ids(landed(ids, "ids")))
+
+
 #: Name -> (query, SQL or None).
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bpe": (op1_bpe, None),
+    "op9_rans": (op9_rans, None),
 }
 
 
