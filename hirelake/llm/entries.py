@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe, rans, words
+from hirelake.llm import bpe, packing, rans, words
 from hirelake.llm.common import landed, table
 from hirelake.session import apply_settings
 
@@ -25,6 +25,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = words.encode_words(table(spark, sf_dir, "documents"), path, end_id=1)
+    return packing.pack_documents(ids)
+
+
 def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = words.encode_words(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -34,6 +40,7 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name -> (query, SQL or None).
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bpe": (op1_bpe, None),
+    "op7_packing": (op7_packing, None),
     "op9_rans": (op9_rans, None),
 }
 
