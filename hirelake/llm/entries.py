@@ -8,16 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe, packing, rans, words
+from hirelake.llm import bpe, linkgraph, packing, rans, warc, words
 from hirelake.llm.common import landed, table
 from hirelake.session import apply_settings
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode_ids(encoded, path, public_tokenizers.PATTERN)
-    return decoded.select(
+    documents = table(spark, sf_dir, "documents")
+    return bpe.encode_and_decode(documents, path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
@@ -25,12 +24,35 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, folder = warc.write_pages(table(spark, sf_dir, "pages"))
+    return warc.read_records(files, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+             max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+FROM r
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = words.encode_words(table(spark, sf_dir, "documents"), path, end_id=1)
     return packing.pack_documents(ids)
 
 
+def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = words.encode_words(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -40,8 +62,10 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name -> (query, SQL or None).
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bpe": (op1_bpe, None),
+    "op5_warc": (op5_warc, OP5_SQL),
     "op7_packing": (op7_packing, None),
     "op9_rans": (op9_rans, None),
+    "op10_linkgraph": (op10_linkgraph, None),
 }
 
 
