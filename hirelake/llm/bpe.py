@@ -29,8 +29,8 @@ from hirelake.llm.common import whole_text
 #: Ranks that one word of the lower bitmap level covers, as a power of two.
 LEAF_BITS = 8
 LEAF_MASK = (1 << LEAF_BITS) - 1
-#: Entries a worker remembers, at most.
-REMEMBERED = 400_000
+#: Entries a worker remembers, at most (about 250 bytes each).
+REMEMBERED = 1_200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,7 +143,14 @@ class Codec:
         # Python's white space is a superset of the pattern's.
         if not rest or rest[0].isspace():
             raise _NoCut
-        return self._matches(" " + rest)
+        first, *others = self.pattern.findall(" " + rest)
+        if not others:
+            return merge(first.encode(), self.ranks)
+        # The first match is remembered without its space, as a part of its own.
+        ids = [*self.after_space[first[1:]]] if len(first) > 1 else [*self.pre_tokens[first]]
+        for token in others:
+            ids += self.pre_tokens[token]
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text.
@@ -202,6 +209,28 @@ def encode_texts(
     return source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, ids array<int>")
 
 
+def encode_and_decode(
+    documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """:func:`encode_texts`, and ``decoded``: the bytes that those ids stand for.
+
+    One pass, so that a worker keeps one memory of pre-tokens.
+    """
+
+    def run(batches):
+        own = codec(path, pattern)
+        for batch in batches:
+            ids = [own.encode(x) for x in batch.column(1).to_pylist()]
+            decoded = pa.array(map(own.decode, ids), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _lists(ids, pa.int32()), decoded], [key, "ids", "decoded"]
+            )
+
+    source = documents.select(F.col(key).alias(key), whole_text(text).alias("text"))
+    kind = dict(source.dtypes)[key]
+    return source.mapInArrow(run, f"{key} {kind}, ids array<int>, decoded binary")
+
+
 def decode_ids(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``key``, ``ids`` and ``decoded`` (the bytes they stand for; null ids: no bytes).
 
