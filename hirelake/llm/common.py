@@ -71,3 +71,13 @@ def by_group(df: DataFrame, keys: list[str], function: Callable, schema: str) ->
                 yield out
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def remainder(key: str, divisor: int) -> Column:
+    """crc32 of the key as text, modulo ``divisor``; -1 for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % divisor, F.lit(-1))
+
+
+def hash_part(key: str, part) -> Column:
+    """True for about that part of the keys, the same ones every time."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) < part * F.lit(1 << 20)

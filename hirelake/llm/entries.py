@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe, linkgraph, packing, rans, warc, words
-from hirelake.llm.common import landed, table
+from hirelake.llm import bpe, langid, linkgraph, packing, quality, rans, warc, words
+from hirelake.llm.common import landed, remainder, table
 from hirelake.session import apply_settings
 
 
@@ -24,6 +24,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    return langid.predict(documents, langid.fit(documents, ~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+#: Scores from here on predict label 1.
+QUALITY_THRESHOLD = 0.3
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(documents, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, folder = warc.write_pages(table(spark, sf_dir, "pages"))
     return warc.read_records(files, folder).select(
@@ -62,6 +86,8 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name -> (query, SQL or None).
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bpe": (op1_bpe, None),
+    "op4_langid": (op4_langid, None),
+    "op6_quality": (op6_quality, None),
     "op5_warc": (op5_warc, OP5_SQL),
     "op7_packing": (op7_packing, None),
     "op9_rans": (op9_rans, None),
