@@ -31,6 +31,15 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out by keys to as many tasks as the session says.
+
+    With a number given, adaptive execution does not join small partitions:
+    few bytes may stand for much work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def whole_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of equal keys from batches sorted by them, one table a group.
 
@@ -70,7 +79,7 @@ def by_group(df: DataFrame, keys: list[str], function: Callable, schema: str) ->
             if out is not None and out.num_rows:
                 yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def remainder(key: str, divisor: int) -> Column:

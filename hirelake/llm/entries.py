@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe, langid, linkgraph, packing, quality, rans, warc, words
+from hirelake.llm import bpe, jaccard, langid, linkgraph, packing, quality, rans, warc, words
 from hirelake.llm.common import landed, remainder, table
 from hirelake.session import apply_settings
 
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -86,6 +90,7 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name -> (query, SQL or None).
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bpe": (op1_bpe, None),
+    "op2_jaccard": (op2_jaccard, None),
     "op4_langid": (op4_langid, None),
     "op6_quality": (op6_quality, None),
     "op5_warc": (op5_warc, OP5_SQL),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import landed
+from hirelake.llm.common import landed, spread
 
 LENGTH = 4096
 GROUP = 8192
@@ -222,7 +222,7 @@ def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP, key: str = "d
                 at += int(sizes[place])
         return rows.assign(sequence_id=sequence + (int(ids[0]) << 32), offset=offset)[names]
 
-    return dealt.groupBy("dealt").applyInPandas(solve, schema)
+    return spread(dealt, "dealt").groupBy("dealt").applyInPandas(solve, schema)
 
 
 def sequences(encoded: DataFrame, packed: DataFrame, key: str = "doc_id") -> DataFrame:

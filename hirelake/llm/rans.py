@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import landed
+from hirelake.llm.common import landed, spread
 from hirelake.session import scratch_dir
 
 BLOCK = 1 << 18
@@ -333,8 +333,7 @@ def read_digests(archive: Archive, key: str = "doc_id") -> DataFrame:
                 )
 
     todo = with_starts(archive.checkpoints).select("file", "at", "blocks", "start")
-    spread = todo.repartition("file", "at")
-    return spread.mapInArrow(run, f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread(todo, "file", "at").mapInArrow(run, f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_ids(archive: Archive, key: str = "doc_id") -> DataFrame:
@@ -358,5 +357,5 @@ def read_ids(archive: Archive, key: str = "doc_id") -> DataFrame:
                     [pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], [key, "ids"]
                 )
 
-    spread = archive.checkpoints.select("file", "at", "blocks").repartition("file", "at")
-    return spread.mapInArrow(run, f"{key} bigint, ids binary")
+    todo = archive.checkpoints.select("file", "at", "blocks")
+    return spread(todo, "file", "at").mapInArrow(run, f"{key} bigint, ids binary")

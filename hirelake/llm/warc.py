@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import landed
+from hirelake.llm.common import landed, spread
 from hirelake.session import scratch_dir
 
 CHUNK = 1 << 16
@@ -305,7 +305,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 with system.open_input_stream(f"{root}/{file}") as source:
                     yield from _read(source)
 
-    return files.select("file").repartition("file").mapInArrow(
+    return spread(files.select("file"), "file").mapInArrow(
         lambda batches: _batches(rows(batches)), CHUNKS_DDL
     )
 
@@ -325,7 +325,7 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
                         if row[-1]:
                             yield tuple(row[i] for i in keep)
 
-    return files.select("file").repartition("file").mapInArrow(
+    return spread(files.select("file"), "file").mapInArrow(
         lambda batches: _batches(rows(batches), names), fields
     )
 
