@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe, jaccard, langid, linkgraph, packing, quality, rans, warc, words
+from hirelake.llm import bpe, itq, jaccard, langid, linkgraph, packing, quality, rans, warc, words
 from hirelake.llm.common import landed, remainder, table
 from hirelake.session import apply_settings
 
@@ -77,6 +77,32 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(ids)
 
 
+def op8_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE e AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), u AS (
+    SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e
+    WHERE label IS NOT NULL AND v IS NOT NULL AND len([x FOR x IN v IF x IS NULL]) = 0
+      AND len([x FOR x IN v IF NOT isfinite(x)]) = 0 AND list_dot_product(v, v) > 0
+), l AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b
+      ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93
+), reach(x, y) AS (
+    SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x
+), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+low AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links,
+       least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) AS kept
+FROM e LEFT JOIN n ON e.vec_id = n.x LEFT JOIN low ON e.vec_id = low.x
+"""
+
+
 def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"))
 
@@ -95,6 +121,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_quality": (op6_quality, None),
     "op5_warc": (op5_warc, OP5_SQL),
     "op7_packing": (op7_packing, None),
+    "op8_itq": (op8_itq, OP8_SQL),
     "op9_rans": (op9_rans, None),
     "op10_linkgraph": (op10_linkgraph, None),
 }
