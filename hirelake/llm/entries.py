@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe, itq, jaccard, langid, linkgraph, packing, quality, rans, warc, words
+from hirelake.llm import bpe, fingerprint, itq, jaccard, langid, linkgraph, packing, quality, rans, warc, words
 from hirelake.llm.common import landed, remainder, table
 from hirelake.session import apply_settings
 
@@ -28,6 +28,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -117,6 +121,7 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bpe": (op1_bpe, None),
     "op2_jaccard": (op2_jaccard, None),
+    "op3_fingerprint": (op3_fingerprint, None),
     "op4_langid": (op4_langid, None),
     "op6_quality": (op6_quality, None),
     "op5_warc": (op5_warc, OP5_SQL),
