@@ -1,14 +1,77 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept.  All but the last return the columns of ``documents``.  Rows without a
+doc_id are dropped by the third stage, which cannot tell them apart; all other
+documents it drops are near copies of one that stays.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hirelake.llm import jaccard, langid, packing, quality, words
+from hirelake.llm.common import landed, table
+from hirelake.session import apply_settings
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose language is less certain than this is rejected.
+LANGUAGE_CERTAINTY = 0.5
+#: A document that scores lower is rejected.
+QUALITY_SCORE = 0.3
+END_ID = 1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is known and certain."""
+    apply_settings(spark)
+    model = langid.fit(docs, F.lit(True))
+    told = langid.annotate(docs.select(*COLUMNS), model)
+    return told.filter(
+        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_CERTAINTY)
+    ).select(*COLUMNS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that score like those labelled 1."""
+    apply_settings(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    told = quality.annotate(docs.select(*COLUMNS), model)
+    return told.filter(F.col("score") >= QUALITY_SCORE).select(*COLUMNS)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the smallest doc_id, of each group of near copies."""
+    apply_settings(spark)
+    groups = jaccard.near_copies(docs)
+    copies = groups.filter(F.col("doc_id") != F.col("group_id")).select("doc_id")
+    one_each = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull())
+    return one_each.join(landed(copies, "copies"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places all pieces of the documents in sequences of 4096 ids."""
+    apply_settings(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(words.encode_words(docs, path, END_ID))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language),
+    ("quality", good_quality),
+    ("near_copies", without_copies),
+    ("packing", packed),
+]
 
 #: A language model and a classifier that learn have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("stages follow")
+    """All stages over ``documents``; each is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = landed(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

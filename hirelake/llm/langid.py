@@ -166,27 +166,36 @@ class _Scorer:
         return self.model.langs[best], float(odds[best] / odds.sum())
 
 
-def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """``key``, ``lang_pred``, ``score`` of every row, from its text alone.
+def annotate(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All columns of ``documents``, then ``lang_pred`` and ``score``, from the text alone.
 
     ``und`` with score 0 for null and empty texts, texts without letters, and
-    when nothing could be learned.  Repeated rows are predicted alike.
+    when nothing could be learned.  Repeated rows are predicted alike.  Columns
+    of these two names must not be there before.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    names = documents.columns
+    at = names.index(text)
 
     def run(batches):
         scorer = _Scorer(shared.value)
         for batch in batches:
-            told = [scorer.predict(x) for x in batch.column(1).to_pylist()]
+            told = [scorer.predict(x or "") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns,
                     pa.array([t[0] for t in told], pa.string()),
                     pa.array([t[1] for t in told], pa.float64()),
                 ],
-                [key, "lang_pred", "score"],
+                [*names, "lang_pred", "score"],
             )
 
-    source = documents.select(key, whole_text().alias("text"))
-    kind = dict(source.dtypes)[key]
-    return source.mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
+    return documents.mapInArrow(
+        run, documents.schema.simpleString()[7:-1] + ",lang_pred:string,score:double"
+    )
+
+
+def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """``key``, ``lang_pred`` and ``score`` of every row; other columns are left behind."""
+    told = annotate(documents.select(F.col(key).alias("key"), F.col("text").alias("text")), model)
+    return told.select(F.col("key").alias(key), "lang_pred", "score")

@@ -207,7 +207,7 @@ def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP, key: str = "d
     order = F.monotonically_increasing_id()
     dealt = cut.withColumn("dealt", F.pmod(F.xxhash64(key, "piece", "ids_crc32", order), F.lit(groups)))
 
-    def solve(ids, rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="dealt").reset_index(drop=True)
         sequence = np.zeros(len(rows), np.int64)
         offset = np.zeros(len(rows), np.int64)

@@ -161,24 +161,32 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
     return fit_model(rows, given, weights)
 
 
-def score(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """``key`` and ``score`` (0 to 1) of every row, from its whole text alone.
+def annotate(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All columns of ``documents``, then ``score`` (0 to 1), from the whole text alone.
 
     Null and empty texts, and all texts when nothing could be learned, get the
-    share of label 1 among the labelled rows (0.5 without any).
+    share of label 1 among the labelled rows (0.5 without any).  A column
+    ``score`` must not be there before.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    names = documents.columns
+    at = names.index(text)
 
     def run(batches):
         own, shapes = shared.value, Shapes()
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                block = batch.slice(at, BLOCK)
-                rows = np.stack([counts(x, shapes) for x in block.column(1).to_pylist()])
+            for start in range(0, batch.num_rows, BLOCK):
+                block = batch.slice(start, BLOCK)
+                rows = np.stack([counts(x or "", shapes) for x in block.column(at).to_pylist()])
                 found = np.clip(own.score(rows), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(0), pa.array(found, pa.float64())], [key, "score"]
+                    [*block.columns, pa.array(found, pa.float64())], [*names, "score"]
                 )
 
-    source = documents.select(key, whole_text().alias("text"))
-    return source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, score double")
+    return documents.mapInArrow(run, documents.schema.simpleString()[7:-1] + ",score:double")
+
+
+def score(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """``key`` and ``score`` of every row; other columns are left behind."""
+    told = annotate(documents.select(F.col(key).alias("key"), F.col("text").alias("text")), model)
+    return told.select(F.col("key").alias(key), "score")
