@@ -20,9 +20,12 @@ LONG_MONTH = "MMMM d, yyyy"
 SHORT_MONTH = "MMM d, yyyy"
 DISPLAY = "MMM dd, hh:mm a"
 
-_CLOCK = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?"
-ISO_WITH_OFFSET = rf"^{_CLOCK}(Z|[+-]\d{{2}}:?\d{{2}})$"
-ISO_WITHOUT_OFFSET = rf"^{_CLOCK}$"
+# Day, hour, minute, second, fraction, offset; the extended form and the basic one.
+_EXTENDED = r"(\d{4}-\d{2}-\d{2})[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?"
+_BASIC = r"(\d{8})[T ](\d{2})(?:(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
+_OFFSET = r"(Z|[+-]\d{2}(?::?\d{2})?)"
+ISO_WITH_OFFSET = rf"^(?:{_EXTENDED}|{_BASIC}){_OFFSET}$"
+ISO_WITHOUT_OFFSET = rf"^(?:{_EXTENDED}|{_BASIC})$"
 
 FIRST_SECOND = -62135596800  # 0001-01-01T00:00:00Z
 LAST_SECOND = 253402300799  # 9999-12-31T23:59:59Z
@@ -55,9 +58,22 @@ def _read(text: Column, pattern: str) -> Column:
 
 
 def _read_iso(text: Column) -> Column:
-    """ISO text, seconds optional; without an offset it is in UTC (the session
-    zone, see ``session.SETTINGS``)."""
-    return F.try_to_timestamp(F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(?!:)", "$1:00"))
+    """ISO text of either form, minutes, seconds and fraction optional; digits of
+    the fraction beyond the sixth do not count.  Without an offset it is in UTC
+    (the session zone, see ``session.SETTINGS``)."""
+    spaced = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})[T ]", "$1-$2-$3T")
+    spaced = F.regexp_replace(spaced, r"^(.{11}\d{2})(\d{2})(\d{2})?", "$1:$2:$3")
+    spaced = F.regexp_replace(spaced, r"^(.{11}\d{2}:\d{2}):(?!\d)", "$1")
+    spaced = F.regexp_replace(spaced, r"^(.{11}\d{2})(?!:|\d)", "$1:00")
+    spaced = F.regexp_replace(spaced, r"^(.{11}\d{2}:\d{2})(?!:)", "$1:00")
+    spaced = F.regexp_replace(spaced, r"^(.{19})[.,](\d{1,6})\d*", "$1.$2")
+    spaced = F.regexp_replace(spaced, r"([+-]\d{2})$", "$1:00")
+    return F.when(spaced.rlike(r"^.{19}"), F.try_to_timestamp(spaced))
+
+
+def iso_instant(text: Column) -> Column:
+    """The instant of any ISO text with an offset; NULL for every other text."""
+    return F.when(text.rlike(ISO_WITH_OFFSET), _read_iso(text))
 
 
 def offset_instant(text: Column) -> Column:
@@ -108,11 +124,13 @@ def day_text(text: Column) -> Column:
 def days_ago_text(text: Column, as_of) -> Column:
     """``Posted Today`` / ``Yesterday`` / ``n+ Days Ago`` relative to as_of."""
     now = instant(as_of)
-    days = F.regexp_extract(text, r"(\d+)\+?\s*Days?", 1).try_cast("int")
+    days = F.regexp_extract(text, r"(\d+)\+?\s*Days?", 1).try_cast("bigint")
+    # Any number of days; a moment before the first year is no date.
+    micros = F.unix_micros(now) - F.try_multiply(days, F.lit(86_400_000_000))
     moment = (
         F.when(text.contains("Today"), now)
         .when(text.contains("Yesterday"), now - F.make_dt_interval(F.lit(1)))
-        .when(days <= 700000, now - F.make_dt_interval(F.least(days, F.lit(700000))))
+        .when(micros >= FIRST_SECOND * 1_000_000, F.timestamp_micros(micros))
     )
     return F.coalesce(utc_text(moment), F.lit(""))
 

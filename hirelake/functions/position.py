@@ -31,8 +31,13 @@ def running_position(
         *keys, "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
+    # Null keys and chunks are groups like others, so the join is null-safe.
+    same = F.lit(True)
+    for key in [*keys, "_chunk"]:
+        offsets = offsets.withColumnRenamed(key, f"_of_{key}")
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
     return (
-        tagged.join(offsets, [*keys, "_chunk"])
+        tagged.join(offsets, same)
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_chunk", "_offset")
+        .drop("_chunk", "_offset", *[f"_of_{key}" for key in [*keys, "_chunk"]])
     )

@@ -225,9 +225,11 @@ _TWO_SENTENCES = r"(?s)^((?:.*?[.!?](?=\s|$)){2}).*$"
 
 
 def _headline_case(text: Column) -> Column:
-    """Capitalize words where the text is in one case only."""
+    """Capitalize words where the text is in one case only; a single upper-case
+    word of up to five letters is a short name and stays."""
     one_case = (text == F.upper(text)) | (text == F.lower(text))
-    return F.when(one_case, F.initcap(text)).otherwise(text)
+    short_name = text.rlike(r"^\p{Lu}{1,5}$")
+    return F.when(one_case & ~short_name, F.initcap(text)).otherwise(text)
 
 
 def normalize_rules(postings: DataFrame) -> DataFrame:

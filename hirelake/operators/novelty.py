@@ -1,7 +1,9 @@
 """What has not been seen before: semi and anti joins on the posting key.
 
-Neither side is hinted or collected.  A key with very many copies only
-matters for row-level joins; there adaptive execution splits the large side.
+Neither side is hinted or collected.  The seen table is only ever joined with
+distinct keys: it is bucketed, and a join with a bucketed side is not split
+when a key is hot.  Rows meet the keys that are left in a join of two shuffled
+sides, which adaptive execution does split.
 """
 
 from __future__ import annotations
@@ -36,8 +38,13 @@ def fresh_seen_rows(postings: DataFrame, seen: DataFrame, as_of, run_id) -> Data
 
 
 def new_rows(postings: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows whose key is unseen; copies inside the batch all stay."""
-    return _keyed(postings).join(seen.select("dedup_key"), "dedup_key", "left_anti")
+    """Rows whose key is unseen; copies inside the batch all stay.
+
+    A row always has a key: missing fields count as empty in it.
+    """
+    rows = _keyed(postings)
+    unseen = rows.select("dedup_key").distinct().join(seen.select("dedup_key"), "dedup_key", "left_anti")
+    return rows.join(unseen, "dedup_key", "left_semi")
 
 
 def keep_new(final_postings: DataFrame, new_keys: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def _lever(job, as_of) -> dict[str, Column]:
 def _greenhouse(job, as_of) -> dict[str, Column]:
     updated = _at(job, "updated_at")
     # Digits keep their wall clock; only the age test looks at the offset.
-    recent = dates.offset_instant(updated) > dates.days_before(as_of, 61)
+    recent = dates.iso_instant(updated) > dates.days_before(as_of, 61)
     names = F.filter(F.transform(_at(job, "departments"), lambda d: d["name"]), filled)
     return {
         "title": _default(job, "title", "Unknown"),

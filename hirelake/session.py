@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,11 +43,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder path for intermediate tables.
 
     On a cluster this lies in the shared folder named by
-    ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    is a local temporary folder made.
+    ``spark.checkpoint.dir``; where that is unset a local temporary folder is
+    made, but only for a local master: executors elsewhere would not share it.
     """
     leaf = f"{purpose}-{uuid.uuid4().hex}"
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{leaf}"
-    return os.path.join(tempfile.mkdtemp(prefix="hirelake-"), leaf)
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="hirelake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return os.path.join(folder, leaf)

@@ -30,6 +30,11 @@ def _overwriting(spark: SparkSession, partitions: str):
 
 
 class SeenTable:
+    """``buckets`` should be no fewer than ``spark.sql.shuffle.partitions``: with
+    fewer, Spark moves the table to the keys of the batch instead of the other
+    way round.  As the table grows, :meth:`compact` moves it to more.
+    """
+
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 64):
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
 
@@ -61,6 +66,8 @@ class SeenTable:
         spark = postings.sparkSession
         before = spark.table(self.name).filter(F.col("run_id") != F.lit(run_id))
         fresh = fresh_seen_rows(postings, before, as_of, run_id)
+        # First without the run's rows: an attempt that finds none leaves none.
+        self.unmark(run_id, spark)
         # "dynamic": replace the partitions that are written, keep the others.
         with _overwriting(spark, "dynamic"):
             fresh.repartition(self.buckets, "dedup_key").write.mode("overwrite").insertInto(
@@ -68,6 +75,29 @@ class SeenTable:
             )
         return spark.table(self.name).filter(F.col("run_id") == F.lit(run_id))
 
+    def unmark(self, run_id: int, spark: SparkSession | None = None) -> None:
+        """Forget the keys of a run; where it failed they are new to the next one."""
+        spark = spark or self.spark
+        spark.createDataFrame([], SEEN).drop("run_id").createOrReplaceTempView("_no_keys")
+        # A named partition is replaced even when there is no row.
+        spark.sql(
+            f"INSERT OVERWRITE TABLE {self.name} PARTITION (run_id = {int(run_id)})"
+            " SELECT dedup_key, title, company, url, first_seen_at FROM _no_keys"
+        )
+        spark.catalog.dropTempView("_no_keys")
+
+    def compact(self, path: str, name: str, buckets: int | None = None) -> SeenTable:
+        """A new table with the same rows, each run in one file per bucket.
+
+        Runs of a bucketed table leave a file per bucket each; this also moves
+        to another number of buckets as the table grows.  ``run_id`` stays, so
+        replays go on to work.  The old table is left as it is.
+        """
+        grown = SeenTable(self.spark, name, path, buckets or self.buckets).create()
+        with _overwriting(self.spark, "dynamic"):
+            self.read().repartition(grown.buckets, "dedup_key").write.mode("overwrite").insertInto(name)
+        return grown
+
     def count(self) -> DataFrame:
         return seen_count(self.read())
 

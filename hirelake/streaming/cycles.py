@@ -86,9 +86,11 @@ def run_cycles(
         try:
             cycle(batch, batch_id)
         except Exception as error:
+            # Its keys may be marked already: they must be new to a later cycle.
+            seen.unmark(batch_id, batch.sparkSession)
             batch.write.mode("overwrite").parquet(f"{out}/failed/batch={batch_id}")
             none = batch.sparkSession.createDataFrame([], "error string")
-            told = batch.sparkSession.createDataFrame([(str(error)[:1000],)], "error string")
+            told = batch.sparkSession.createDataFrame([(str(error),)], "error string")
             # No clock here: asking for it may be what failed.
             summary = run_summary(none, none, told, batch_id, F.lit(None).cast("timestamp"))
             summary.write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")

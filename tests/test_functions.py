@@ -83,3 +83,43 @@ def test_positions_do_not_depend_on_chunks(spark):
         hot = sorted((r.n, r.position) for r in got if r.source == "hot")
         assert hot == [(n, n) for n in range(500)]
         assert all(r.position == 0 for r in got if r.source != "hot")
+
+
+def test_iso_forms(spark):
+    """Forms that the standard reader of ISO texts takes, against that reader."""
+    import datetime as dt
+
+    from hirelake.functions import dates
+
+    texts = [
+        "2026-03-01T10:00:00.1234567Z", "2026-03-01T10+00:00", "20260301T100000Z", "20260301T1000-0530",
+        "20260301T10Z", "2026-03-01T10:00:00,5+00:00", "2026-03-01T10:00:00.123+0000",
+        "2026-03-01 10:00:00.123456789-05", "20260301 100000.5+01:00", "2026-03-01T10:00Z",
+    ]
+    bad = ["2026-03-01T1000:00Z", "2026-13-01T10:00:00Z", "garbage", "", None, "2026-03-01T10:00:00"]
+    rows = [(t,) for t in texts + bad]
+    df = spark.createDataFrame(rows, "t string")
+    found = {
+        r.t: r.at for r in df.select("t", F.unix_micros(dates.iso_instant(F.col("t"))).alias("at")).collect()
+    }
+    zero = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    for t in texts:
+        assert found[t] == (dt.datetime.fromisoformat(t) - zero) // dt.timedelta(microseconds=1), t
+    assert all(found[t] is None for t in bad)
+
+
+def test_any_number_of_days_ago(spark):
+    from hirelake.functions import dates
+
+    texts = ["Posted 700001 Days Ago", "Posted 739000 Days Ago", "Posted 99999999999999999999 Days Ago", "Posted 4000000 Days Ago"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r.d for r in df.select(dates.days_ago_text(F.col("t"), "2026-03-10T00:00:00").alias("d")).collect()]
+    assert found[0].startswith("0109-") and found[1].startswith("0002-") and found[2:] == ["", ""]
+
+
+def test_positions_of_null_keys(spark):
+    from hirelake.functions.position import running_position
+
+    df = spark.createDataFrame([("a", 1), (None, 1), (None, None)], "k string, n bigint")
+    found = running_position(df, ["k"], ["n"], F.col("n")).collect()
+    assert sorted((r.k or "", r.position) for r in found) == [("", 0), ("", 1), ("a", 0)]
