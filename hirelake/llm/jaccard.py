@@ -220,9 +220,11 @@ def near_copies(
         "cells",
     )
     texts = keyed.select(F.col(key).cast("bigint").alias("node"), whole_text(text).alias("text"))
+    # Merged at every size: the members grow with the data, so no plan that small inputs
+    # alone can have (a broadcast of the members) stands for that of large ones.
     work = (
         block_pairs(cells, "cell", "node", BLOCK)
-        .join(texts, "node")
+        .join(texts.hint("merge"), "node")
         .select("cell", "left", "right", "block", "node", "copies", "text")
     )
     found = landed(
