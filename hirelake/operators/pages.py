@@ -160,12 +160,18 @@ def page_context(
     return linked.withColumn("context", cut(whole, max_length, CUT_MARKER)).drop("read", "links")
 
 
-def listing_postings(pages: DataFrame) -> DataFrame:
-    """Listing pages -> postings, with the announced result total."""
+def listing_postings(pages: DataFrame, *carried: Column) -> DataFrame:
+    """Listing pages -> postings, with the announced result total.
+
+    ``source`` is the listing's own name; ``carried`` are further columns of the
+    landed page to keep, such as the name it was landed under.
+    """
     read = pages.withColumn("read", _listing("html"))
     total = F.regexp_extract("read.counter", r"(?U)of\s*(\d+)", 1).try_cast("bigint")
     rows = read.withColumn("total", F.coalesce(total, F.lit(0).cast("bigint"))).select(
-        "page_no", "total", F.posexplode("read.cards").alias("item_no", "card")
+        "total",
+        F.struct("page_no", *carried).alias("page"),
+        F.posexplode("read.cards").alias("item_no", "card"),
     )
     title, href = F.col("card.title"), F.col("card.href")
     kept = rows.filter(
@@ -182,7 +188,7 @@ def listing_postings(pages: DataFrame) -> DataFrame:
         "job_type": F.lit("Full-time"),
     }
     return kept.select(
-        *[fields[name].alias(name) for name in POSTING_FIELDS], "page_no", "item_no", "total"
+        *[fields[name].alias(name) for name in POSTING_FIELDS], "item_no", "total", "page.*"
     )
 
 

@@ -48,9 +48,13 @@ def run_payloads(
     if cards is not None:
         parts.append(payloads.flatten_cards(cards, sources))
     if listings is not None:
-        rows = pages.listing_postings(paging.drop_failed(listings, limits)).drop("total")
+        # Numbered by the name they were landed under; the rows carry the listing's own.
+        rows = pages.listing_postings(
+            paging.drop_failed(listings, limits), F.col("source").alias("landed_as")
+        ).drop("total")
         parts.append(
-            rows.join(numbers, "source")
+            rows.join(numbers.withColumnRenamed("source", "landed_as"), "landed_as")
+            .drop("landed_as")
             .withColumn("provider", F.lit("servicenow"))
             .withColumn("item_no", F.col("item_no").cast("bigint"))
         )

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from hirelake.operators import payloads
 from hirelake.plans.run import run_payloads
@@ -129,6 +130,13 @@ def test_whole_run(spark):
     sources = catalog.build_sources(entries)
     full = run_payloads(landed, sources, AS_OF, listings=listings, extracted=extracted)
     assert sorted((r.title, r.src_idx) for r in full.final.collect()) == [("Cook", 2), ("Dev", 0), ("Pilot", 4)]
+    # A listing landed under another name than the one its rows carry.
+    renamed = sources.withColumn("name", F.when(F.col("src_idx") == 4, "SN").otherwise(F.col("name")))
+    other = run_payloads(landed, renamed, AS_OF, listings=listings.withColumn("source", F.lit("SN")))
+    assert [(r.title, r.source) for r in other.postings.filter("src_idx = 4").collect()] == [
+        ("Pilot", "ServiceNow Careers")
+    ]
+    assert [(r.name, r.state, r.jobs) for r in other.status.filter("name = 'SN'").collect()] == [("SN", "done", 1)]
     run = run_payloads(landed, sources, AS_OF)
     assert run.postings.count() == 4
     assert [(r.title, r.company) for r in run.final.collect()] == [("Dev", "GitHub")]
