@@ -205,12 +205,14 @@ def validate(records: DataFrame, source: Column, json: str = "record") -> DataFr
     )
 
 
-def api_or_model(flattened: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Flattened rows, and parsed rows of the sources that have none."""
-    done = flattened.select("source").distinct()
-    return flattened.unionByName(
-        parsed.join(done, "source", "left_anti"), allowMissingColumns=True
-    )
+def api_or_model(flattened: DataFrame, parsed: DataFrame, *keys: str) -> DataFrame:
+    """Flattened rows, and parsed rows of the sources that have none.
+
+    ``keys`` tell sources apart: by default their names.
+    """
+    by = list(keys) or ["source"]
+    done = flattened.select(*by).distinct()
+    return flattened.unionByName(parsed.join(done, by, "left_anti"), allowMissingColumns=True)
 
 
 # Place abbreviations, and words that tell the kind of work.

@@ -192,7 +192,7 @@ def listing_postings(pages: DataFrame, *carried: Column) -> DataFrame:
     )
 
 
-def listing_stats(pages: DataFrame) -> DataFrame:
+def listing_stats(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Page statistics of listing pages, for the page cut-off."""
     read = pages.withColumn("read", _listing("html"))
     cards = F.filter(
@@ -203,7 +203,7 @@ def listing_stats(pages: DataFrame) -> DataFrame:
     )
     total = F.regexp_extract("read.counter", r"(?U)of\s*(\d+)", 1).try_cast("bigint")
     return read.select(
-        "source",
+        *(keys or ["source"]),
         F.lit("servicenow").alias("provider"),
         "page_no",
         F.coalesce("success", F.lit(False)).alias("success"),

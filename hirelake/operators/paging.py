@@ -56,10 +56,10 @@ STOP_RULES = {
 }
 
 
-def _per_provider(value) -> Column:
+def _per_provider(value, rules: dict[str, StopRule]) -> Column:
     """``value(rule)`` chosen by the provider column."""
     chosen = F.lit(None)
-    for name, rule in STOP_RULES.items():
+    for name, rule in rules.items():
         chosen = F.when(F.col("provider") == name, value(rule)).otherwise(chosen)
     return chosen
 
@@ -80,24 +80,40 @@ def _stops(rule: StopRule) -> Column:
     return stop | (position >= rule.limit)
 
 
-def page_limits(page_stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def within_reach(pages: DataFrame, rules: dict[str, StopRule] | None = STOP_RULES) -> DataFrame:
+    """Pages that a stop rule could keep, told by provider and page number alone."""
+    if rules is None:
+        return pages
+    return pages.filter(
+        F.col("page_no") <= _per_provider(lambda rule: F.lit(rule.most_pages()), rules)
+    )
+
+
+def page_limits(
+    page_stats: DataFrame,
+    keys: list[str] | None = None,
+    rules: dict[str, StopRule] | None = STOP_RULES,
+) -> DataFrame:
     """``page_stats`` (source, provider, page_no, success, error, n_jobs,
     total) -> one row per source: last_page, failed, error.
 
     Pages past ``most_pages`` cannot be kept by any rule.  Dropping them first
     is exact and bounds what the window sees of one source (501 slim rows).
     ``keys`` defaults to the source; pass (run, source) for several runs.
+    Without ``rules`` every landed page counts and only failures end a source;
+    then nothing is summed and no window is needed.
     """
     keys = keys or ["source"]
-    readable = page_stats.filter(
-        F.col("page_no") <= _per_provider(lambda rule: F.lit(rule.most_pages()))
-    )
-    so_far = Window.partitionBy(*keys, "provider").orderBy("page_no")
-    judged = (
-        readable.withColumn("_total", F.coalesce("total", F.lit(0)))
-        .withColumn("_rows", F.sum("n_jobs").over(so_far))
-        .withColumn("_last", ~F.col("success") | _per_provider(_stops))
-    )
+    if rules is None:
+        judged = page_stats.withColumn("_last", ~F.col("success"))
+    else:
+        so_far = Window.partitionBy(*keys, "provider").orderBy("page_no")
+        judged = (
+            within_reach(page_stats, rules)
+            .withColumn("_total", F.coalesce("total", F.lit(0)))
+            .withColumn("_rows", F.sum("n_jobs").over(so_far))
+            .withColumn("_last", ~F.col("success") | _per_provider(_stops, rules))
+        )
     ending = F.struct("page_no", "success", "error")
     ends = judged.groupBy(*keys, "provider").agg(
         F.min(F.when(F.col("_last"), ending)).alias("_end"),

@@ -408,9 +408,17 @@ def _by_provider(branch: Callable[[str, PayloadShape], Column]) -> Column:
     return chosen
 
 
+#: Error of a page whose body is no JSON.
+UNREADABLE = "response is no JSON"
+
+
 def page_stats(payloads: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per landed page: jobs left after the shape's own row filter, and the
-    total the site announced.  Input of the page cut-off; one scan."""
+    total the site announced.  Input of the page cut-off; one scan.
+
+    A fetched body that is no JSON is a failed page.  Only bodies that showed
+    neither jobs nor a total are looked at for that.
+    """
 
     def numbers(_: str, shape: PayloadShape) -> Column:
         return once(
@@ -424,12 +432,22 @@ def page_stats(payloads: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return (
         payloads.filter(F.col("provider").isin(*SHAPES))
         .withColumn("_page", _by_provider(numbers))
+        .withColumn("_fetched", F.coalesce("success", F.lit(False)))
+        .withColumn(
+            "_unreadable",
+            F.when(
+                F.col("_fetched")
+                & (F.coalesce("_page.n_jobs", F.lit(0)) == 0)
+                & (F.coalesce("_page.total", F.lit(0)) == 0),
+                F.try_parse_json("body").isNull(),
+            ).otherwise(F.lit(False)),
+        )
         .select(
             *(keys or ["source"]),
             "provider",
             "page_no",
-            F.coalesce("success", F.lit(False)).alias("success"),
-            "error",
+            (F.col("_fetched") & ~F.col("_unreadable")).alias("success"),
+            F.when(F.col("_unreadable"), F.lit(UNREADABLE)).otherwise(F.col("error")).alias("error"),
             F.coalesce("_page.n_jobs", F.lit(0)).cast("bigint").alias("n_jobs"),
             "_page.total",
         )
@@ -469,11 +487,12 @@ def flatten(payloads: DataFrame, provider: str, as_of=None) -> DataFrame:
     return rows.select(*_posting_columns({**fields, "source": F.col("source")}))
 
 
-def flatten_all(payloads: DataFrame, as_of) -> DataFrame:
+def flatten_all(payloads: DataFrame, as_of, *carried: str) -> DataFrame:
     """Postings of all providers in one scan, whatever the file layout.
 
     Each row is parsed with its own provider's schema only.  The array of a
     page is turned into postings inside the row and exploded afterwards.
+    ``carried`` names further columns of the landed page to keep.
     """
 
     def postings(_: str, shape: PayloadShape) -> Column:
@@ -489,14 +508,14 @@ def flatten_all(payloads: DataFrame, as_of) -> DataFrame:
         return F.transform(shape.items(shape.parse(F.col("body"))), posting)
 
     rows = payloads.filter(F.col("provider").isin(*SHAPES)).select(
-        "source", "provider", "src_idx", "page_no",
+        "source", "provider", "src_idx", "page_no", *carried,
         F.explode(_by_provider(postings)).alias("job"),
     )
     fields = {name: F.col(f"job.{name}") for name in POSTING_FIELDS if name != "source"}
     return (
         rows.filter("job.keep")
         .withColumn("item_no", F.col("job.item_no"))
-        .select(*_posting_columns({**fields, "source": F.col("source")}))
+        .select(*_posting_columns({**fields, "source": F.col("source")}), *carried)
     )
 
 
@@ -522,8 +541,12 @@ CARD_SITES = [
 ]
 
 
-def flatten_cards(cards: DataFrame, sources: DataFrame) -> DataFrame:
-    """Browser cards -> postings; cards of an unknown site give no rows."""
+def flatten_cards(cards: DataFrame, sources: DataFrame, *carried: str) -> DataFrame:
+    """Browser cards -> postings; cards of an unknown site give no rows.
+
+    Cards that tell their ``src_idx`` are joined by it, others by name.
+    ``carried`` names further columns of the cards to keep.
+    """
     base = F.lit(None).cast("string")
     for part, link_base in reversed(CARD_SITES):
         base = F.when(F.col("site_url").contains(part), F.lit(link_base)).otherwise(base)
@@ -533,7 +556,9 @@ def flatten_cards(cards: DataFrame, sources: DataFrame) -> DataFrame:
         .select("source", "src_idx", base.alias("base_url"))
         .filter(F.col("base_url").isNotNull())
     )
-    joined = cards.filter(filled(F.col("title"))).join(sites, "source")
+    by = "src_idx" if "src_idx" in cards.columns else "source"
+    other = "source" if by == "src_idx" else "src_idx"
+    joined = cards.drop(other).filter(filled(F.col("title"))).join(sites, by)
     link = or_empty(F.col("url"))
     absolute = F.concat(
         F.rtrim(F.col("base_url"), F.lit("/")), F.lit("/"), F.ltrim(link, F.lit("/"))
@@ -551,6 +576,7 @@ def flatten_cards(cards: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("src_idx").cast("bigint").alias("src_idx"),
         F.lit(1).cast("bigint").alias("page_no"),
         F.col("item_no").cast("bigint").alias("item_no"),
+        *carried,
     )
 
 

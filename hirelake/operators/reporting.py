@@ -205,12 +205,22 @@ def headline(flagged: DataFrame) -> DataFrame:
     return counted.withColumn("label", label)
 
 
-def source_status(planned: DataFrame, postings: DataFrame, errors: DataFrame) -> DataFrame:
+def source_status(
+    planned: DataFrame, postings: DataFrame, errors: DataFrame, pages: DataFrame | None = None
+) -> DataFrame:
     """State of every planned source.
 
     ``errors`` has src_idx and error, NULL error meaning an attempt without
     one.  A source without postings and without attempts is still waiting.
+    ``pages`` (src_idx, pages_landed, pages_kept) tells how much was read.
     """
+    told = []
+    if pages is not None:
+        planned = planned.join(pages, "src_idx", "left")
+        told = [
+            F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
+            for name in ("pages_landed", "pages_kept")
+        ]
     counts = postings.groupBy("src_idx").agg(F.count(F.lit(1)).alias("jobs"))
     attempts = errors.groupBy("src_idx").agg(F.min("error").alias("first_error"))
     joined = planned.join(counts, "src_idx", "left").join(
@@ -230,6 +240,7 @@ def source_status(planned: DataFrame, postings: DataFrame, errors: DataFrame) ->
         state.alias("state"),
         F.coalesce("jobs", F.lit(0)).cast("bigint").alias("jobs"),
         F.when(failed, F.substring(message, 1, ERROR_LENGTH)).otherwise(F.lit("")).alias("error"),
+        *told,
     ).orderBy(F.lower("name"), "src_idx")
 
 

@@ -1,21 +1,36 @@
-"""One whole run as a single plan, from landed rows to report tables."""
+"""One whole run, from landed rows to report tables.
+
+Landed rows are told apart by (run_id, src_idx): the fetch cycle and the
+source's number in the catalog, so cycles in one folder and sources of one name
+stay apart.  What bodies are joined to is written first and read back (the
+catalog, and one row per source and cycle), so planning knows its size and
+broadcasts it where it is small: bodies are then not shuffled.  Bodies are
+parsed twice, once for the slim page statistics and once for the postings; both
+are written, and all report tables read those.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.functions.text import filled
 from hirelake.operators import pages, paging, payloads
 from hirelake.operators.cleaning import MAX_AGE_DAYS, clean_postings
 from hirelake.operators.model_tables import api_or_model
 from hirelake.operators.reporting import source_status, standardize
+from hirelake.session import written
+
+KEYS = ["run_id", "src_idx"]
+CATALOG = ["src_idx", "name", "provider", "base_url", "site_number"]
 
 
 @dataclass
 class Run:
-    """Lazy tables of one run."""
+    """Tables of one run.  ``postings`` carry run_id; ``errors`` are run_id,
+    src_idx, source and error."""
 
     postings: DataFrame
     final: DataFrame
@@ -23,6 +38,36 @@ class Run:
     status: DataFrame
 
 
+def with_keys(landed: DataFrame, catalog: DataFrame, run_id: int | None = None) -> DataFrame:
+    """Landed rows with run_id, src_idx and what the catalog says of the source.
+
+    A row without a cycle belongs to cycle 0; one without src_idx to the first
+    source of its name.  Rows of no known source stay, with a NULL provider.
+    """
+    cycle = F.col("run_id").cast("bigint") if "run_id" in landed.columns else F.lit(None)
+    number = F.col("src_idx").cast("bigint") if "src_idx" in landed.columns else F.lit(None)
+    rows = landed.withColumn("run_id", F.coalesce(cycle, F.lit(0).cast("bigint")))
+    if run_id is not None:
+        rows = rows.filter(F.col("run_id") == run_id)
+    firsts = catalog.groupBy(F.col("name").alias("source")).agg(F.min("src_idx").alias("_first"))
+    told = [c for c in CATALOG if c in landed.columns and c != "src_idx"]
+    return (
+        rows.drop(*told)
+        .join(firsts, "source", "left")
+        .withColumn("src_idx", F.coalesce(number, "_first"))
+        .drop("_first")
+        .join(catalog, "src_idx", "left")
+        .withColumn("source", F.coalesce("name", "source"))
+        .drop("name")
+    )
+
+
+def _failures(rows: DataFrame, opening: str, error: Column) -> DataFrame:
+    """An error row of a run: the opening, the source's name and what went wrong."""
+    text = F.concat(F.lit(opening), F.coalesce("source", F.lit("")), error)
+    return rows.select(*KEYS, "source", text.alias("error"))
+
+
 def run_payloads(
     raw_payload: DataFrame,
     sources: DataFrame,
@@ -31,52 +76,112 @@ def run_payloads(
     listings: DataFrame | None = None,
     extracted: DataFrame | None = None,
     max_age_days: int = MAX_AGE_DAYS,
+    html_pages: DataFrame | None = None,
+    responses: DataFrame | None = None,
+    attempts: DataFrame | None = None,
+    run_id: int | None = None,
+    rules: dict[str, paging.StopRule] | None = paging.STOP_RULES,
 ) -> Run:
     """Landed rows -> postings, final rows, errors and status.
 
     ``cards`` are browser cards, ``listings`` server-rendered listing pages and
     ``extracted`` postings read from model responses; the last only count for
-    sources without flattened rows.
+    sources without flattened rows.  ``html_pages`` are fetched career pages
+    (source, success, error, and ``text`` where it has been read), ``responses``
+    the model's answers (source, error) and ``attempts`` further tries (source,
+    error), such as those of a browser.  Any of them may have run_id and src_idx.
+
+    ``run_id`` reads one cycle only.  Without it every cycle is judged by its
+    own pages, and a source counts as done if any cycle brought postings.
+    ``rules`` end the reading of a source; None keeps every landed page.  A page
+    that no rule can reach is not read, but it is counted as landed.
     """
-    landed = payloads.attach_sources(raw_payload, sources)
-    numbers = sources.select(F.col("name").alias("source"), F.col("src_idx").cast("bigint"))
-    stats = payloads.page_stats(landed)
+    sources = written(sources, "sources")
+    catalog = sources.select(*CATALOG)
+    landed = with_keys(raw_payload, catalog, run_id)
+    of_shape = F.coalesce(F.col("provider").isin(*payloads.SHAPES), F.lit(False))
+    known = landed.filter(of_shape)
+    found = landed.groupBy(*KEYS, "source", of_shape.alias("usable")).agg(F.count("*").alias("pages"))
+    stats = payloads.page_stats(paging.within_reach(known, rules), [*KEYS, "source"])
     if listings is not None:
-        stats = stats.unionByName(pages.listing_stats(listings))
-    limits = paging.page_limits(stats)
-    parts = [payloads.flatten_all(paging.drop_failed(landed, limits), as_of)]
+        listings = with_keys(listings, catalog, run_id)
+        is_known = F.col("provider").isNotNull()
+        found = found.unionByName(
+            listings.groupBy(*KEYS, "source", is_known.alias("usable")).agg(F.count("*").alias("pages"))
+        )
+        listings = listings.filter(is_known)
+        stats = stats.unionByName(pages.listing_stats(listings, [*KEYS, "source"]))
+    found = written(found, "found")
+    stats = written(stats, "page-stats")
+    limits = written(paging.page_limits(stats, [*KEYS, "source"], rules), "limits")
+
+    parts = [payloads.flatten_all(paging.drop_failed(known, limits, KEYS), as_of, "run_id")]
     if cards is not None:
-        parts.append(payloads.flatten_cards(cards, sources))
+        shown = with_keys(cards, catalog, run_id).drop("provider", "base_url", "site_number")
+        parts.append(payloads.flatten_cards(shown, sources, "run_id"))
     if listings is not None:
-        # Numbered by the name they were landed under; the rows carry the listing's own.
-        rows = pages.listing_postings(
-            paging.drop_failed(listings, limits), F.col("source").alias("landed_as")
-        ).drop("total")
+        # Numbered by the source they were landed for; the rows carry the listing's own name.
         parts.append(
-            rows.join(numbers.withColumnRenamed("source", "landed_as"), "landed_as")
-            .drop("landed_as")
+            pages.listing_postings(paging.drop_failed(listings, limits, KEYS), *map(F.col, KEYS))
+            .drop("total")
             .withColumn("provider", F.lit("servicenow"))
             .withColumn("item_no", F.col("item_no").cast("bigint"))
         )
-    postings = payloads.union_postings(*parts)
+    postings = written(payloads.union_postings(*parts), "flattened")
     if extracted is not None:
-        postings = api_or_model(
-            postings,
-            extracted.join(numbers, "source")
+        read = (
+            with_keys(extracted, catalog, run_id)
+            .filter(F.col("src_idx").isNotNull())
             .withColumn("page_no", F.col("batch_id"))
             .withColumn("provider", F.lit("html"))
-            .drop("batch_id"),
-        )
-    errors = paging.failed_sources(limits).unionByName(
-        sources.filter(F.col("error").isNotNull()).select(
-            F.col("name").alias("source"), "error"
+            .drop("batch_id", "base_url", "site_number")
         )
+        postings = api_or_model(postings, read, *KEYS)
+    tried, errors = _outcomes(found, limits, sources, catalog, run_id, html_pages, responses, attempts)
+    errors = written(errors, "errors")
+    attempted = tried.select("src_idx", F.lit(None).cast("string").alias("error")).unionByName(
+        errors.select("src_idx", "error")
     )
-    attempts = (
-        limits.select("source", F.lit(None).cast("string").alias("error"))
-        .unionByName(errors)
-        .join(numbers, "source")
-        .select("src_idx", "error")
+    kept = (
+        stats.join(limits.filter("NOT failed").select(*KEYS, "last_page"), KEYS)
+        .filter("page_no <= last_page")
+        .select("src_idx", F.lit(0).cast("bigint").alias("landed"), F.lit(1).cast("bigint").alias("kept"))
+    )
+    counts = (
+        found.select("src_idx", F.col("pages").alias("landed"), F.lit(0).cast("bigint").alias("kept"))
+        .unionByName(kept)
+        .groupBy("src_idx")
+        .agg(F.sum("landed").alias("pages_landed"), F.sum("kept").alias("pages_kept"))
+    )
+    final = standardize(clean_postings(postings.drop("run_id"), as_of, max_age_days))
+    return Run(postings, final, errors, source_status(sources, postings, attempted, counts))
+
+
+def _outcomes(found, limits, sources, catalog, run_id, html_pages, responses, attempts):
+    """What was tried (run_id, src_idx) and what failed."""
+    told = F.concat(F.lit(": "), F.coalesce("error", F.lit("")))
+    tried = limits.select(*KEYS)
+    errors = paging.failed_sources(limits, [*KEYS, "source"]).select(*KEYS, "source", "error")
+    lost = found.filter("NOT usable")
+    errors = errors.unionByName(_failures(lost, "No readable source in the catalog: ", F.lit("")))
+    planless = sources.filter(F.col("error").isNotNull()).select(
+        F.lit(run_id or 0).cast("bigint").alias("run_id"),
+        F.col("src_idx").cast("bigint").alias("src_idx"),
+        F.col("name").alias("source"),
+        "error",
     )
-    final = standardize(clean_postings(postings, as_of, max_age_days))
-    return Run(postings, final, errors, source_status(sources, postings, attempts))
+    errors = errors.unionByName(planless)
+    if html_pages is not None:
+        page = with_keys(html_pages, catalog, run_id)
+        bad = ~F.coalesce("success", F.lit(False))
+        tried = tried.unionByName(page.select(*KEYS))
+        errors = errors.unionByName(_failures(page.filter(bad), "Scraper failed for ", told))
+        if "text" in html_pages.columns:
+            empty = page.filter(~bad & ~filled(F.col("text")))
+            errors = errors.unionByName(_failures(empty, "No text content to parse for ", F.lit("")))
+    for rows, opening in ((responses, "LLM call failed for "), (attempts, "Browser scrape failed for ")):
+        if rows is not None:
+            rows = with_keys(rows, catalog, run_id)
+            tried = tried.unionByName(rows.select(*KEYS))
+            errors = errors.unionByName(_failures(rows.filter(filled(F.col("error"))), opening, told))
+    return tried, errors

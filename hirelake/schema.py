@@ -23,7 +23,7 @@ POSTING = (
     + ", provider STRING, src_idx BIGINT, page_no BIGINT, item_no BIGINT"
 )
 
-# ``page_no`` is the number of the request within its source, from 1.
+# ``page_no`` is the number of the request within its source and cycle, from 1.
 RAW_PAYLOAD = (
     "source STRING, page_no BIGINT, success BOOLEAN, error STRING, body STRING, "
     "fetched_at TIMESTAMP"
@@ -34,6 +34,12 @@ HTML_PAGE = (
     "error STRING, html STRING"
 )
 
+# Landed files may also hold these.  ``run_id`` is the fetch cycle (NULL: cycle
+# 0), ``src_idx`` the source's catalog number (NULL: the first of that name).
+CYCLE = "run_id BIGINT, src_idx BIGINT"
+LANDED_PAYLOAD = f"{RAW_PAYLOAD}, status_code INT, {CYCLE}"
+LANDED_PAGE = f"{HTML_PAGE}, {CYCLE}"
+
 RAW_CARD = "source STRING, item_no BIGINT, title STRING, url STRING, location STRING"
 
 CATALOG_ENTRY = (

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Results depend on the first two; the others only shape the physical plan.
 SETTINGS = {
@@ -55,3 +55,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     folder = tempfile.mkdtemp(prefix="hirelake-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return os.path.join(folder, leaf)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    The result has a known size, so that planning broadcasts it only where it
+    is small, and it is computed once however often it is used.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.schema import HTML_PAGE, RAW_CARD, RAW_PAYLOAD
+from hirelake.schema import LANDED_PAGE, LANDED_PAYLOAD, RAW_CARD
 
 
 def _read(spark: SparkSession, path: str, schema: str, file_format: str) -> DataFrame:
@@ -13,36 +13,40 @@ def _read(spark: SparkSession, path: str, schema: str, file_format: str) -> Data
 
 
 def read_payloads(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    return with_fetch_errors(_read(spark, path, RAW_PAYLOAD, file_format))
+    return with_fetch_errors(_read(spark, path, LANDED_PAYLOAD, file_format))
 
 
 def read_pages(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    return _read(spark, path, HTML_PAGE, file_format)
+    told = F.concat(
+        F.lit("HTTP "), F.col("status_code").cast("string"), F.lit(" for "), F.coalesce("url", F.lit(""))
+    )
+    return with_fetch_errors(_read(spark, path, LANDED_PAGE, file_format), "html", told)
 
 
 def read_cards(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
     return _read(spark, path, RAW_CARD, file_format)
 
 
-def with_fetch_errors(fetched: DataFrame) -> DataFrame:
+def with_fetch_errors(
+    fetched: DataFrame, data: str = "body", told: Column | None = None
+) -> DataFrame:
     """A failed fetch has an error text and no data.  Where the landing only
-    kept the HTTP status, the text is made from it."""
-    ok = F.coalesce(F.col("success"), F.lit(False))
-    columns = {
-        "success": ok,
-        "error": F.when(ok, F.lit("")).otherwise(F.coalesce("error", F.lit(""))),
-        "body": F.when(ok, F.col("body")),
-    }
+    kept the HTTP status, the text (``told``) is made from it."""
+    ok, error = F.coalesce("success", F.lit(False)), F.coalesce("error", F.lit(""))
     if "status_code" in fetched.columns:
-        bad = F.col("status_code").isNotNull() & (F.col("status_code") != 200)
+        status = F.col("status_code")
+        bad = F.coalesce(status != 200, F.lit(False))
+        if told is None:
+            told = F.concat(F.lit("API returned HTTP "), status.cast("string"))
         ok = ok & ~bad
-        told = F.concat(F.lit("API returned HTTP "), F.col("status_code").cast("string"))
-        columns["success"] = ok
-        columns["error"] = F.when(ok, F.lit("")).otherwise(
-            F.coalesce(F.nullif("error", F.lit("")), F.when(bad, told), F.lit(""))
-        )
-        columns["body"] = F.when(ok, F.col("body"))
-    return fetched.withColumns(columns)
+        error = F.coalesce(F.nullif("error", F.lit("")), F.when(bad, told), F.lit(""))
+    return fetched.withColumns(
+        {
+            "success": ok,
+            "error": F.when(ok, F.lit("")).otherwise(error),
+            data: F.when(ok, F.col(data)),
+        }
+    )
 
 
 def land_payloads(payloads: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from hirelake.functions.text import posting_key
 from hirelake.operators.cleaning import MAX_AGE_DAYS, clean_postings
 from hirelake.operators.novelty import keep_new
 from hirelake.plans.run import run_payloads
-from hirelake.schema import POSTING, RAW_PAYLOAD
+from hirelake.schema import LANDED_PAYLOAD, POSTING
 from hirelake.sources.landing import with_fetch_errors
 from hirelake.sources.seen_table import SeenTable
 from hirelake.sources.sinks import run_summary
@@ -28,7 +28,7 @@ def posting_stream(spark: SparkSession, folder: str, files_per_cycle: int | None
 
 def payload_stream(spark: SparkSession, folder: str, files_per_cycle: int | None = None) -> DataFrame:
     """Landed payloads arriving as Parquet files."""
-    reader = spark.readStream.schema(RAW_PAYLOAD)
+    reader = spark.readStream.schema(LANDED_PAYLOAD)
     if files_per_cycle:
         reader = reader.option("maxFilesPerTrigger", files_per_cycle)
     return reader.parquet(folder)
