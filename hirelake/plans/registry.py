@@ -16,6 +16,7 @@ MODULES = [
     "checks_pages",
     "checks_models",
     "checks_reports",
+    "checks_run",
 ]
 
 
