@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import bpe, fingerprint, itq, jaccard, langid, linkgraph, packing, quality, rans, warc, words
+from hirelake.llm import bpe, classlm, filteraudit, fingerprint, itq, jaccard, langid, linkgraph, packing, quality, rans
+from hirelake.llm import spelling, warc, words
 from hirelake.llm.common import landed, remainder, table
 from hirelake.session import apply_settings
 
@@ -117,6 +118,63 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_digests(rans.write_ids(landed(ids, "ids")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+f AS (
+    SELECT w.doc_id, part, coalesce(l.quality, 0) = 1 AS good, coalesce(l.toxic, 0) = 1 AS toxic,
+           [len(words) < 100,
+            100 * len(list_distinct(words)) < 80 * len(words),
+            100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+            regexp_matches(t, '[#$%&*|]'),
+            w.doc_id > min(w.doc_id) OVER (PARTITION BY t)] AS x
+    FROM w LEFT JOIN labels l ON w.doc_id = l.doc_id
+), c AS (SELECT part, good, toxic, x, count(*) AS n FROM f GROUP BY ALL),
+one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS a, unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (
+    SELECT p.a || q.a || r.a || s.a || u.a AS filter_order, [p.k, q.k, r.k, s.k, u.k] AS ks
+    FROM one p, one q, one r, one s, one u
+    WHERE len(list_distinct([p.k, q.k, r.k, s.k, u.k])) = 5
+), steps AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+told AS (
+    SELECT part, filter_order, step, ks[step] AS k, good, toxic, n,
+           x[ks[step]] AS fails, list_bool_or([x[i] FOR i IN ks[:step - 1]]) AS before,
+           list_count([v FOR v IN x IF v] ) AS all_fails
+    FROM c, steps
+), sums AS (
+    SELECT part, filter_order, step, any_value(k) AS k,
+           sum(n) FILTER (NOT fails AND NOT coalesce(before, false)) AS kept,
+           sum(n) FILTER (fails AND NOT coalesce(before, false)) AS removed,
+           sum(n) FILTER (fails AND coalesce(before, false)) AS redundant,
+           sum(n) FILTER (fails AND all_fails = 1) AS unique_fails,
+           sum(n) FILTER (fails AND NOT coalesce(before, false) AND good) AS good_lost,
+           sum(n) FILTER (fails AND NOT coalesce(before, false) AND toxic) AS toxic_lost
+    FROM told GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept,
+       coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM sums
+"""
+
+
+def op13_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 10) == 0
+    model, counts = classlm.fit(documents, ~held_out)
+    return classlm.score(documents, model, counts, F.col("doc_id"), held_out.alias("held_out"))
+
+
 #: Name -> (query, SQL or None).
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bpe": (op1_bpe, None),
@@ -129,6 +187,9 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_itq": (op8_itq, OP8_SQL),
     "op9_rans": (op9_rans, None),
     "op10_linkgraph": (op10_linkgraph, None),
+    "op11_spelling": (op11_spelling, None),
+    "op12_filteraudit": (op12_filteraudit, OP12_SQL),
+    "op13_classlm": (op13_classlm, None),
 }
 
 
