@@ -125,9 +125,16 @@ def ranks(edges: DataFrame, seed: DataFrame) -> DataFrame:
         return given
     now = given
     for n in range(1, MOST_ROUNDS + 1):
-        handed = now.join(
-            weights, (now["kind"] == weights["kind"]) & (F.col("host") == F.col("src"))
-        ).select(weights["kind"], F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("weight")).alias("rank"))
+        # ``now`` descends from ``weights``: only names tell their columns apart.
+        handed = (
+            now.alias("now")
+            .join(weights.alias("out"), (F.col("now.kind") == F.col("out.kind")) & (F.col("now.host") == F.col("out.src")))
+            .select(
+                F.col("out.kind").alias("kind"),
+                F.col("out.dst").alias("host"),
+                (DAMPING * F.col("now.rank") * F.col("out.weight")).alias("rank"),
+            )
+        )
         after = handed.unionByName(given).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if n % ROUNDS_A_TABLE == 0:
             after = landed(after, "ranks")
