@@ -15,7 +15,7 @@ from hirelake.functions import dates
 from hirelake.operators.cleaning import first_wins, with_key
 
 
-def _keyed(postings: DataFrame) -> DataFrame:
+def keyed(postings: DataFrame) -> DataFrame:
     return postings if "dedup_key" in postings.columns else with_key(postings)
 
 
@@ -26,7 +26,7 @@ def fresh_seen_rows(postings: DataFrame, seen: DataFrame, as_of, run_id) -> Data
     Copies inside the batch go first, so the join carries one row per key.
     """
     run = run_id if isinstance(run_id, Column) else F.lit(run_id)
-    firsts = first_wins(_keyed(postings))
+    firsts = first_wins(keyed(postings))
     return firsts.join(seen.select("dedup_key"), "dedup_key", "left_anti").select(
         "dedup_key",
         "title",
@@ -42,14 +42,14 @@ def new_rows(postings: DataFrame, seen: DataFrame) -> DataFrame:
 
     A row always has a key: missing fields count as empty in it.
     """
-    rows = _keyed(postings)
+    rows = keyed(postings)
     unseen = rows.select("dedup_key").distinct().join(seen.select("dedup_key"), "dedup_key", "left_anti")
     return rows.join(unseen, "dedup_key", "left_semi")
 
 
 def keep_new(final_postings: DataFrame, new_keys: DataFrame) -> DataFrame:
     """Final rows whose key is among the new keys."""
-    return _keyed(final_postings).join(new_keys.select("dedup_key"), "dedup_key", "left_semi")
+    return keyed(final_postings).join(new_keys.select("dedup_key"), "dedup_key", "left_semi")
 
 
 def seen_count(seen: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ MODULES = [
     "checks_models",
     "checks_reports",
     "checks_run",
+    "checks_seen",
 ]
 
 

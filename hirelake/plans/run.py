@@ -4,7 +4,8 @@ Landed rows are told apart by (run_id, src_idx): the fetch cycle and the
 source's number in the catalog, so cycles in one folder and sources of one name
 stay apart.  What bodies are joined to is written first and read back (the
 catalog, and one row per source and cycle), so planning knows its size and
-broadcasts it where it is small: bodies are then not shuffled.  Bodies are
+broadcasts it where it is small: bodies are then not shuffled.  For histories of
+many cycles land payloads in buckets: then neither has to be small.  Bodies are
 parsed twice, once for the slim page statistics and once for the postings; both
 are written, and all report tables read those.
 """
@@ -21,7 +22,10 @@ from hirelake.operators import pages, paging, payloads
 from hirelake.operators.cleaning import MAX_AGE_DAYS, clean_postings
 from hirelake.operators.model_tables import api_or_model
 from hirelake.operators.reporting import source_status, standardize
+from hirelake.schema import PAGE_STAT
 from hirelake.session import written
+from hirelake.sources.bucketed import BucketedLanding
+from hirelake.sources.landing import with_fetch_errors
 
 KEYS = ["run_id", "src_idx"]
 CATALOG = ["src_idx", "name", "provider", "base_url", "site_number"]
@@ -62,6 +66,47 @@ def with_keys(landed: DataFrame, catalog: DataFrame, run_id: int | None = None)
     )
 
 
+def arrival_stats(arrivals: DataFrame, catalog: DataFrame, *carried: str) -> DataFrame:
+    """Pages and cards of ``ARRIVAL`` rows as ``PAGE_STAT`` rows; no shuffle, so a stream may do it.
+
+    A page of a source that the catalog does not know has no provider; it is
+    counted, and nothing is read from it.  A card is told by its number.
+    """
+
+    def of_kind(kind: str) -> DataFrame:
+        return with_keys(arrivals.filter(F.col("kind") == kind), catalog)
+
+    payload = with_fetch_errors(of_kind("payload"))
+    of_shape = F.coalesce(F.col("provider").isin(*payloads.SHAPES), F.lit(False))
+    keys = [*KEYS, "source", *carried]
+    nothing = {"n_jobs": F.lit(0).cast("bigint"), "total": F.lit(None).cast("bigint")}
+    lost = payload.filter(~of_shape).withColumns(nothing | {"provider": F.lit(None).cast("string")})
+    listing = with_fetch_errors(of_kind("listing").withColumnRenamed("body", "html"), "html")
+    cards = of_kind("card").withColumns(
+        nothing | {"page_no": F.col("item_no"), "success": F.lit(True), "error": F.lit("")}
+    )
+    parts = [
+        ("payload", payloads.page_stats(payload, keys)),
+        ("payload", lost),
+        ("listing", pages.listing_stats(listing, keys).withColumn("provider", F.lit("servicenow"))),
+        ("card", cards),
+    ]
+    columns = [*(c.split()[0] for c in PAGE_STAT.split(", ")), *carried]
+    rows = [part.withColumn("kind", F.lit(kind)).select(*columns) for kind, part in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def _told_of(rows: DataFrame, told: DataFrame, kind: str, number: str = "page_no") -> DataFrame:
+    """Rows that the page statistics know, by cycle, source and number."""
+    mine = told.filter(F.col("kind") == kind).select(
+        *(F.col(k).alias(f"_{k}") for k in KEYS), F.col("page_no").alias("_number")
+    )
+    same = F.col(number).eqNullSafe(F.col("_number"))
+    for key in KEYS:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return rows.join(mine, same, "left_semi")
+
+
 def _failures(rows: DataFrame, opening: str, error: Column) -> DataFrame:
     """An error row of a run: the opening, the source's name and what went wrong."""
     text = F.concat(F.lit(opening), F.coalesce("source", F.lit("")), error)
@@ -69,7 +114,7 @@ def _failures(rows: DataFrame, opening: str, error: Column) -> DataFrame:
 
 
 def run_payloads(
-    raw_payload: DataFrame,
+    raw_payload: DataFrame | BucketedLanding,
     sources: DataFrame,
     as_of,
     cards: DataFrame | None = None,
@@ -81,6 +126,7 @@ def run_payloads(
     attempts: DataFrame | None = None,
     run_id: int | None = None,
     rules: dict[str, paging.StopRule] | None = paging.STOP_RULES,
+    stats: DataFrame | None = None,
 ) -> Run:
     """Landed rows -> postings, final rows, errors and status.
 
@@ -94,30 +140,58 @@ def run_payloads(
     ``run_id`` reads one cycle only.  Without it every cycle is judged by its
     own pages, and a source counts as done if any cycle brought postings.
     ``rules`` end the reading of a source; None keeps every landed page.  A page
+    without a number has no place in a source: it is landed, not kept, and an error.  A page
     that no rule can reach is not read, but it is counted as landed.
+
+    A :class:`BucketedLanding` has been keyed when it was filled.  Its bodies meet
+    their limits bucket by bucket and are not shuffled, however many cycles and
+    sources there are; a frame's bodies stay in place while catalog and limits are small.
+
+    ``stats`` (see :func:`arrival_stats`) are pages that were told of before,
+    such as those that a stream has released: bodies are not parsed for them
+    again, and a landed page that is not among them is not read.
     """
     sources = written(sources, "sources")
     catalog = sources.select(*CATALOG)
-    landed = with_keys(raw_payload, catalog, run_id)
+    buckets = raw_payload if isinstance(raw_payload, BucketedLanding) else None
+    landed = buckets.read(run_id) if buckets else with_keys(raw_payload, catalog, run_id)
+    if stats is not None:
+        told = written(stats, "told")
+        landed = _told_of(landed, told, "payload")
+        listings = listings if listings is None else _told_of(with_keys(listings, catalog, run_id), told, "listing")
+        stats = told.filter(F.col("kind").isin("payload", "listing")).drop("kind")
     of_shape = F.coalesce(F.col("provider").isin(*payloads.SHAPES), F.lit(False))
     known = landed.filter(of_shape)
-    found = landed.groupBy(*KEYS, "source", of_shape.alias("usable")).agg(F.count("*").alias("pages"))
-    stats = payloads.page_stats(paging.within_reach(known, rules), [*KEYS, "source"])
+    numbered = F.col("page_no").isNotNull()
+    found = landed.groupBy(*KEYS, "source", of_shape.alias("usable"), numbered.alias("numbered")).agg(
+        F.count("*").alias("pages")
+    )
+    fresh = stats is None
+    if fresh:
+        stats = payloads.page_stats(paging.within_reach(known, rules), [*KEYS, "source"])
+    else:
+        stats = stats.filter(F.col("provider").isNotNull())
     if listings is not None:
         listings = with_keys(listings, catalog, run_id)
         is_known = F.col("provider").isNotNull()
         found = found.unionByName(
-            listings.groupBy(*KEYS, "source", is_known.alias("usable")).agg(F.count("*").alias("pages"))
+            listings.groupBy(*KEYS, "source", is_known.alias("usable"), numbered.alias("numbered")).agg(
+                F.count("*").alias("pages")
+            )
         )
         listings = listings.filter(is_known)
-        stats = stats.unionByName(pages.listing_stats(listings, [*KEYS, "source"]))
+        if fresh:
+            stats = stats.unionByName(pages.listing_stats(listings, [*KEYS, "source"]))
     found = written(found, "found")
     stats = written(stats, "page-stats")
     limits = written(paging.page_limits(stats, [*KEYS, "source"], rules), "limits")
 
-    parts = [payloads.flatten_all(paging.drop_failed(known, limits, KEYS), as_of, "run_id")]
+    kept = buckets.kept(known, limits) if buckets else paging.drop_failed(known, limits, KEYS)
+    parts = [payloads.flatten_all(kept, as_of, "run_id")]
     if cards is not None:
         shown = with_keys(cards, catalog, run_id).drop("provider", "base_url", "site_number")
+        if not fresh:
+            shown = _told_of(shown, told, "card", "item_no")
         parts.append(payloads.flatten_cards(shown, sources, "run_id"))
     if listings is not None:
         # Numbered by the source they were landed for; the rows carry the listing's own name.
@@ -164,6 +238,8 @@ def _outcomes(found, limits, sources, catalog, run_id, html_pages, responses, at
     errors = paging.failed_sources(limits, [*KEYS, "source"]).select(*KEYS, "source", "error")
     lost = found.filter("NOT usable")
     errors = errors.unionByName(_failures(lost, "No readable source in the catalog: ", F.lit("")))
+    loose = found.filter("usable AND NOT numbered")
+    errors = errors.unionByName(_failures(loose, "Pages without a number from ", F.lit("")))
     planless = sources.filter(F.col("error").isNotNull()).select(
         F.lit(run_id or 0).cast("bigint").alias("run_id"),
         F.col("src_idx").cast("bigint").alias("src_idx"),

@@ -42,6 +42,17 @@ LANDED_PAGE = f"{HTML_PAGE}, {CYCLE}"
 
 RAW_CARD = "source STRING, item_no BIGINT, title STRING, url STRING, location STRING"
 
+# What a fetcher lands, in one table: payload and listing pages, cards, and the
+# marks ``begin`` and ``end`` of a cycle (src_idx NULL: of all its sources).
+# A listing's markup is its body.
+ARRIVAL = f"kind STRING, {LANDED_PAYLOAD}, item_no BIGINT, title STRING, url STRING, location STRING"
+
+# A page that a cycle brought, told by its numbers alone.
+PAGE_STAT = (
+    "run_id BIGINT, src_idx BIGINT, source STRING, kind STRING, provider STRING, page_no BIGINT, "
+    "success BOOLEAN, error STRING, n_jobs BIGINT, total BIGINT"
+)
+
 CATALOG_ENTRY = (
     "input_pos BIGINT, name STRING, url STRING, type STRING, api_url STRING, "
     "keywords STRING, domain STRING, country STRING, site_number STRING"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.schema import LANDED_PAGE, LANDED_PAYLOAD, RAW_CARD
+from hirelake.schema import ARRIVAL, LANDED_PAGE, LANDED_PAYLOAD, RAW_CARD
 
 
 def _read(spark: SparkSession, path: str, schema: str, file_format: str) -> DataFrame:
@@ -52,3 +52,35 @@ def with_fetch_errors(
 def land_payloads(payloads: DataFrame, path: str) -> None:
     """Write payloads so that one shape's scan reads only its own files."""
     payloads.write.mode("append").partitionBy("provider").parquet(path)
+
+
+def land_arrivals(arrivals: DataFrame, path: str) -> None:
+    """Append arrivals so that reading a cycle back opens its own files only."""
+    arrivals.write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def marks(sources: DataFrame, kind: str, run_id: int) -> DataFrame:
+    """A ``begin`` or ``end`` mark of a cycle for every source, as ``ARRIVAL`` rows.
+
+    One more mark, without a source, is for pages that no source of the catalog owns.
+    """
+    told = {"kind": F.lit(kind), "run_id": F.lit(run_id), "src_idx": F.col("src_idx"), "source": F.col("name")}
+    columns = [c.split() for c in ARRIVAL.split(", ")]
+
+    def rows(frame: DataFrame, values: dict) -> DataFrame:
+        return frame.select(*(values.get(name, F.lit(None)).cast(kind_).alias(name) for name, kind_ in columns))
+
+    nobody = {name: told[name] for name in ("kind", "run_id")}
+    return rows(sources, told).unionByName(rows(sources.sparkSession.range(1), nobody))
+
+
+def land_marks(sources: DataFrame, kind: str, run_id: int, path: str) -> None:
+    """Land the marks of a cycle in one file, which a stream reads as one."""
+    land_arrivals(marks(sources, kind, run_id).coalesce(1), path)
+
+
+def read_arrivals(spark: SparkSession, path: str, run_id: int) -> DataFrame:
+    """What has landed for a cycle.  Cycle 0 includes rows without a cycle."""
+    rows = spark.read.schema(ARRIVAL).parquet(path)
+    mine = F.col("run_id") == run_id
+    return rows.filter(mine | F.col("run_id").isNull() if run_id == 0 else mine)
