@@ -6,8 +6,8 @@ holds a known n-gram decides, and shorter ones are asked only when there is
 none.  A text scores the sum over its words.
 
 The model is learned from at most ``DOCUMENTS`` texts per language, chosen by a
-hash of their key, and keeps at most ``ENTRIES`` words and as many n-grams of
-each length; both are parameters, and they bound what is broadcast.
+hash of their key; this parameter bounds what is broadcast.  It keeps every word
+and n-gram that these texts hold at least ``LEAST`` times.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import hash_part, landed, whole_text
 
 DOCUMENTS = 600
-ENTRIES = 12_000
+#: Rarer entries of the sample are left to the backoff.
+LEAST = 2
 LONGEST = 5
 UNKNOWN = "und"
 #: Of a text's words, so many count towards the certainty of its score.
@@ -119,13 +120,8 @@ def fit(documents: DataFrame, usable: Column, key: str = "doc_id") -> Model:
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, DOCUMENTS / n))).otherwise(part)
     counts = landed(_counts(rows.filter(hash_part(key, part))), "lang-counts")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()
-    best = Window.partitionBy("kind").orderBy(F.desc("all_n"), "entry")
-    kept = (
-        counts.groupBy("kind", "entry")
-        .agg(F.sum("n").alias("all_n"))
-        .withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") <= ENTRIES)
-    )
+    often = F.sum("n") >= LEAST
+    kept = counts.groupBy("kind", "entry").agg(often.alias("often")).filter("often").drop("often")
     table = counts.join(kept, ["kind", "entry"]).select("kind", "entry", "lang", "n").collect()
     return Model(list(sizes), [tuple(r) for r in table], {(r.lang, r.kind): r.n for r in totals})
 
@@ -171,8 +167,9 @@ def annotate(documents: DataFrame, model: Model, text: str = "text") -> DataFram
 
     ``und`` with score 0 for null and empty texts, texts without letters, and
     when nothing could be learned.  Repeated rows are predicted alike.  Columns
-    of these two names must not be there before.
+    of these two names are replaced.
     """
+    documents = documents.drop("lang_pred", "score")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
     at = names.index(text)

@@ -152,6 +152,8 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
 
     texts = documents.select(key, whole_text().alias("text")).join(chosen, key).select("label", "text")
     sample = texts.mapInArrow(run, "label double, at binary, n binary").collect()
+    # One order however the rows came: neighbours of equal cosine are taken by it.
+    sample.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["n"])))
     rows = np.zeros((len(sample), FEATURES), np.float32)
     for i, r in enumerate(sample):
         rows[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
@@ -166,8 +168,9 @@ def annotate(documents: DataFrame, model: Model, text: str = "text") -> DataFram
 
     Null and empty texts, and all texts when nothing could be learned, get the
     share of label 1 among the labelled rows (0.5 without any).  A column
-    ``score`` must not be there before.
+    ``score`` is replaced.
     """
+    documents = documents.drop("score")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
     at = names.index(text)

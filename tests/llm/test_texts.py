@@ -138,3 +138,49 @@ def test_bands():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.9), (0.9, 0.99)):
         bands, rows = jaccard.bands_and_rows(threshold, recall)
         assert 1 - (1 - threshold**rows) ** bands >= recall and bands * rows <= jaccard.HASHES
+
+
+def test_language_model_and_scores_by_brute_force(spark, documents):
+    """Counts, logarithms, backoff and odds from the definition, for every text."""
+    rows = documents.select("doc_id", "text", "lang").collect()
+    model = langid.fit(documents, F.lit(True))
+    counts = {}
+    for r in rows:
+        for word in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            marked = f"^{word}$"
+            entries = [(0, word)] + [
+                (n, marked[i : i + n]) for n in range(1, langid.LONGEST + 1) for i in range(len(marked) - n + 1)
+            ]
+            for entry in entries:
+                counts.setdefault(entry, dict.fromkeys(model.langs, 0))[r.lang] += 1
+    often = {e: c for e, c in counts.items() if sum(c.values()) >= langid.LEAST}
+    size = [sum(e[0] == k for e in often) for k in range(langid.LONGEST + 1)]
+    total = [{lang: sum(c[lang] for e, c in counts.items() if e[0] == k) for lang in model.langs} for k in range(langid.LONGEST + 1)]
+    assert [set(known) for known in model.known] == [
+        {e for k, e in often if k == kind} for kind in range(langid.LONGEST + 1)
+    ]
+
+    def logs(kind, entry):
+        bottom = [total[kind][lang] + langid.SMOOTHING * (size[kind] + 1) for lang in model.langs]
+        return np.log([(often[kind, entry][lang] + langid.SMOOTHING) / b for lang, b in zip(model.langs, bottom)])
+
+    def score(word):
+        if (0, word) in often:
+            return logs(0, word)
+        for n in range(langid.LONGEST, 0, -1):
+            marked = f"^{word}$"
+            hits = [logs(n, g) for i in range(len(marked) - n + 1) if (n, g := marked[i : i + n]) in often]
+            if hits:
+                return np.mean(hits, axis=0)
+        return np.zeros(len(model.langs))
+
+    told = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(documents, model).collect()}
+    for r in rows[::5]:
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        if not words:
+            assert told[r.doc_id] == ("und", 0.0)
+            continue
+        mean = np.mean([score(w) for w in words], axis=0)
+        odds = np.exp((mean - mean.max()) * min(len(words), langid.CERTAIN_WORDS))
+        assert told[r.doc_id][0] == model.langs[int(odds.argmax())]
+        assert abs(told[r.doc_id][1] - odds.max() / odds.sum()) < 1e-3
