@@ -1,9 +1,9 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept.  All but the last return the columns of ``documents``.  Rows without a
-doc_id are dropped by the third stage, which cannot tell them apart; all other
-documents it drops are near copies of one that stays.
+kept.  All but the last return the columns of ``documents``; other columns are
+left behind.  Stages judge rows, not keys: rows without a doc_id, and rows that
+repeat one, are judged by their own texts.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,12 +43,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest doc_id, of each group of near copies."""
+    """Keeps one row of each group of near copies: that with the smallest doc_id.
+
+    A row without a doc_id stays only where its whole group has none.  Equal rows
+    are copies of each other, so one of them stays.  A text without n-grams, null
+    and empty ones among them, is no copy of anything.
+    """
     apply_settings(spark)
-    groups = jaccard.near_copies(docs)
-    copies = groups.filter(F.col("doc_id") != F.col("group_id")).select("doc_id")
-    one_each = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull())
-    return one_each.join(landed(copies, "copies"), "doc_id", "left_anti").select(*COLUMNS)
+    # Numbers of its own, written down, tell rows apart whatever their keys are.
+    rows = landed(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.near_copies(rows, key="_row").select("_row", "group_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "_row"))
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("group_id").agg(first.alias("first"))
+    kept = landed(kept.select("first._row"), "kept-rows")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
