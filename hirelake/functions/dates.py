@@ -27,6 +27,10 @@ _OFFSET = r"(Z|[+-]\d{2}(?::?\d{2})?)"
 ISO_WITH_OFFSET = rf"^(?:{_EXTENDED}|{_BASIC}){_OFFSET}$"
 ISO_WITHOUT_OFFSET = rf"^(?:{_EXTENDED}|{_BASIC})$"
 
+# The usual form, which Spark's own reader takes as it stands.
+PLAIN = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d"
+PLAIN_OFFSET = r"(Z|[+-]\d\d:\d\d)"
+
 FIRST_SECOND = -62135596800  # 0001-01-01T00:00:00Z
 LAST_SECOND = 253402300799  # 9999-12-31T23:59:59Z
 
@@ -73,14 +77,14 @@ def _read_iso(text: Column) -> Column:
 
 def iso_instant(text: Column) -> Column:
     """The instant of any ISO text with an offset; NULL for every other text."""
-    return F.when(text.rlike(ISO_WITH_OFFSET), _read_iso(text))
+    return F.when(text.rlike(f"{PLAIN}{PLAIN_OFFSET}$"), F.try_to_timestamp(text)).when(
+        text.rlike(ISO_WITH_OFFSET), _read_iso(text)
+    )
 
 
 def offset_instant(text: Column) -> Column:
     """The instant of a text with an offset; NULL for every other text."""
-    return F.when(text.endswith("+0000"), _read(text, UTC_TEXT_READ)).when(
-        text.rlike(ISO_WITH_OFFSET), _read_iso(text)
-    )
+    return F.when(text.endswith("+0000"), _read(text, UTC_TEXT_READ)).otherwise(iso_instant(text))
 
 
 def report_instant(text: Column) -> Column:
@@ -89,6 +93,7 @@ def report_instant(text: Column) -> Column:
     return (
         F.when(text.endswith("+0000"), _read(text, UTC_TEXT_READ))
         .when(day_only, _read(text, DAY_READ))
+        .when(text.rlike(f"{PLAIN}{PLAIN_OFFSET}?$"), F.try_to_timestamp(text))
         .when(
             text.rlike(ISO_WITH_OFFSET) | text.rlike(ISO_WITHOUT_OFFSET),
             _read_iso(text),

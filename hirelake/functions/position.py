@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirelake.session import written
+
 
 def running_position(
     df: DataFrame,
@@ -41,3 +43,38 @@ def running_position(
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_chunk", "_offset", *[f"_of_{key}" for key in [*keys, "_chunk"]])
     )
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt by range of ``order`` and written in it, with ``_id``: the upper
+    bits are the partition, the lower ones the row in it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return written(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranged")
+
+
+def ranged_position(df: DataFrame, keys: list[str], order_by: list[str], name: str = "position") -> DataFrame:
+    """:func:`running_position` without a chunk: range partitions numbered by counts.
+
+    Rows are dealt by range of (keys, order) and written in that order, so a hot
+    key is as many tasks as it fills.  What goes before a partition's rows of a
+    key follows from the counts of the partitions, a row per key and partition
+    that holds it.  Rows that agree in keys and order get places of their own,
+    in any order among themselves.
+    """
+    rows = ranged(df, [*keys, *order_by])
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(*keys, part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")
+    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *(F.col(k).alias(f"_of_{k}") for k in keys),
+        F.col("_part").alias("_of_part"),
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_offset"),
+    )
+    same = part == F.col("_of_part")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    placed = rows.join(offsets, same).withColumn(name, F.col("_offset") + F.col("_id"))
+    return placed.drop("_id", "_offset", "_of_part", *[f"_of_{key}" for key in keys])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.position import running_position
+from hirelake.functions.position import ranged_position, running_position
 from hirelake.functions.text import blank_to_null, filled, once, or_empty, strip
 from hirelake.schema import POSTING_FIELDS
 
@@ -22,13 +22,14 @@ REQUEST_HEAD = "List every job posting on the page below."
 REQUEST_TAIL = "Answer with a JSON array of objects and nothing else."
 
 
-def extract_requests(contexts: DataFrame, flattened: DataFrame) -> DataFrame:
+def extract_requests(contexts: DataFrame, flattened: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Pages that need a model: those of sources without flattened rows.
 
     ``contexts`` has source, url and context.  A page without text gives an
-    error instead of a request.
+    error instead of a request.  ``keys`` tell sources apart: by default their names.
     """
-    done = flattened.select("source").distinct()
+    by = keys or ["source"]
+    done = flattened.select(*by).distinct()
     request = F.concat(
         F.lit(REQUEST_HEAD + "\nSource: "), F.col("source"),
         F.lit("\nSource URL: "), or_empty(F.col("url")),
@@ -36,7 +37,8 @@ def extract_requests(contexts: DataFrame, flattened: DataFrame) -> DataFrame:
         F.lit("\n\n" + REQUEST_TAIL),
     )
     has_text = filled(F.col("context"))
-    return contexts.join(done, "source", "left_anti").select(
+    return contexts.join(done, by, "left_anti").select(
+        *(keys or []),
         "source",
         "url",
         F.when(has_text, request).alias("request"),
@@ -62,23 +64,30 @@ def with_bypass(
 
 def model_batches(
     postings: DataFrame,
-    chunk: Column,
+    chunk: Column | None,
     order_by: list[str],
     size: int = BATCH_SIZE,
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Consecutive groups of ``size`` rows per source, in input order.
 
-    Positions come from :func:`running_position`, so a source with a third of
-    all rows is numbered by many tasks; a group never has more than ``size``.
+    Positions come from :func:`running_position`, or where the caller knows no
+    chunk from :func:`ranged_position`, so a source with a third of all rows is
+    numbered by many tasks; a group never has more than ``size``.  ``keys`` tell
+    sources apart: by default their names.
     """
-    numbered = running_position(postings, ["source"], order_by, chunk)
+    keys = keys or ["source"]
+    if chunk is None:
+        numbered = ranged_position(postings, keys, order_by)
+    else:
+        numbered = running_position(postings, keys, order_by, chunk)
     record = F.struct("position", F.struct(*POSTING_FIELDS).alias("job"))
     return (
         numbered.withColumn("batch_id", F.floor(F.col("position") / size))
-        .groupBy("source", "batch_id")
+        .groupBy(*keys, "batch_id")
         .agg(F.array_sort(F.collect_list(record)).alias("members"))
         .select(
-            "source",
+            *keys,
             "batch_id",
             F.size("members").cast("bigint").alias("n"),
             F.to_json(
@@ -110,36 +119,68 @@ def json_in_response(text: Column) -> Column:
     return once(once(strip(or_empty(text)), unfenced), array_or_all)
 
 
-def _single_value_kind(payload: Column) -> Column:
-    """Type of the one JSON value a text holds; NULL if it is anything else.
+def answer_elements(text: Column) -> Column:
+    """Response text -> the elements of its list, each a variant; a lone object is
+    a list of one.  NULL for anything else.
 
-    Parsers stop after the first value, so the text is tried as a member and
-    as an element: only a single complete value is valid in both places.
+    The text is parsed once, as the one element of a list in an object with an
+    end mark behind it: parsers stop after the first value, and only a single
+    complete value leaves the mark where it is.
     """
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
-    element = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
-    kind = F.schema_of_variant(F.try_variant_get(member, "$.v", "variant"))
-    return F.when(element.isNotNull(), kind)
 
+    def read(payload: Column) -> Column:
+        document = F.try_parse_json(F.concat(F.lit('{"v":['), payload, F.lit('],"end":0}')))
 
-def parsed_list(text: Column) -> Column:
-    """Response text -> array of postings; a lone object is a list of one.
-    NULL for anything else."""
+        def elements(d: Column) -> Column:
+            alone = (F.try_variant_get(d, "$.end", "int") == 0) & F.try_variant_get(d, "$.v[1]", "variant").isNull()
+            several = F.try_variant_get(d, "$.v[0]", "array<variant>")
+            one = F.array(F.try_variant_get(d, "$.v[0]", "variant"))
+            first = F.ltrim(payload).startswith("{")
+            return F.when(alone, F.when(first, one).otherwise(several))
 
-    def read(payload: Column) -> Column:
-        kind = _single_value_kind(payload)
-        usable = kind.startswith("ARRAY") | kind.startswith("OBJECT")
-        return F.when(usable, F.from_json(payload, POSTING_LIST))
+        return once(document, elements)
 
     return once(json_in_response(text), read)
 
 
+def is_record(element: Column) -> Column:
+    """Whether a variant is an object."""
+    return F.schema_of_variant(element).startswith("OBJECT")
+
+
+def _posting_of(element: Column) -> Column:
+    fields = [F.try_variant_get(element, f"$.{name}", "string").alias(name) for name in POSTING_FIELDS]
+    return F.when(is_record(element), F.struct(*fields))
+
+
+def parsed_list(text: Column) -> Column:
+    """Response text -> array of postings, NULL where an element is no object.
+    NULL for anything but a list or an object."""
+    return F.transform(answer_elements(text), _posting_of)
+
+
+def answer_quality(responses: DataFrame) -> DataFrame:
+    """Per answer: whether it is readable, its good records and its stray elements."""
+    read = F.transform(answer_elements(F.col("text")), is_record)
+    return responses.withColumn("_read", read).select(
+        *[c for c in responses.columns if c not in ("text", "error")],
+        F.col("_read").isNotNull().alias("readable"),
+        F.coalesce(F.size(F.filter("_read", lambda x: x)), F.lit(0)).alias("records"),
+        F.coalesce(F.size(F.filter("_read", lambda x: ~x)), F.lit(0)).alias("strays"),
+    )
+
+
 def parse_responses(responses: DataFrame, sources: DataFrame) -> DataFrame:
-    """Extraction responses -> postings with source and address filled in."""
+    """Extraction responses -> postings with source and address filled in.
+
+    Elements that are no objects are left out (see :func:`answer_quality`).
+    """
     addresses = sources.select(F.col("name").alias("source"), F.col("url").alias("site_url"))
-    rows = responses.select(
-        "source", "batch_id", F.posexplode(parsed_list(F.col("text"))).alias("item_no", "job")
-    ).join(addresses, "source", "left")
+    rows = (
+        responses.select("source", "batch_id", F.posexplode(parsed_list(F.col("text"))).alias("item_no", "job"))
+        .filter(F.col("job").isNotNull())
+        .join(addresses, "source", "left")
+    )
     fields = {name: F.col(f"job.{name}") for name in POSTING_FIELDS}
     fields["source"] = F.col("source")
     fields["url"] = F.coalesce(
@@ -154,7 +195,8 @@ def parse_responses(responses: DataFrame, sources: DataFrame) -> DataFrame:
 
 def apply_responses(batches: DataFrame, responses: DataFrame) -> DataFrame:
     """Normalized rows of each batch, its own rows where the response is
-    missing, failed or unreadable.  An empty list is an answer: no rows."""
+    missing, failed or unreadable.  An empty list is an answer: no rows.
+    Elements of an answer that are no objects are left out."""
     answers = responses.select(
         "source",
         "batch_id",
@@ -164,6 +206,7 @@ def apply_responses(batches: DataFrame, responses: DataFrame) -> DataFrame:
     rows = batches.join(answers, ["source", "batch_id"], "left").select(
         F.col("source").alias("from_source"), "batch_id", F.posexplode(jobs).alias("item_no", "job")
     )
+    rows = rows.filter(F.col("job").isNotNull())
     fields = {name: F.col(f"job.{name}") for name in POSTING_FIELDS}
     fields["source"] = F.coalesce("job.source", "from_source")
     fields["job_type"] = or_empty(F.col("job.job_type"))
@@ -174,34 +217,45 @@ def apply_responses(batches: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-def validate(records: DataFrame, source: Column, json: str = "record") -> DataFrame:
-    """One JSON object per row -> the eight fields with defaults, and whether
-    the record has the right types.  Invalid rows are kept."""
-    document = F.try_parse_json(F.col(json))
+def record_checks(document: Column) -> Column:
+    """Whether a record, a variant, has the right types.
+
+    ``source`` and ``job_type`` get their defaults before types are checked.
+    """
 
     def kind(name: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant"))
 
-    def text(name: str) -> Column:
-        return F.try_variant_get(document, f"$.{name}", "string")
-
     def is_text(name: str) -> Column:
         return F.coalesce(kind(name) == "STRING", F.lit(False))
 
     def absent_or_text(name: str, *also: str) -> Column:
         return F.coalesce(kind(name).isin("STRING", *also), F.lit(True))
 
-    # ``source`` and ``job_type`` get their defaults before types are checked.
     valid = is_text("title") & is_text("company") & absent_or_text("date_posted", "VOID")
     for name in ("location", "url", "description", "source", "job_type"):
         valid = valid & absent_or_text(name)
+    return valid
+
+
+def validate(records: DataFrame, source: Column, json: str = "record") -> DataFrame:
+    """One JSON object per row -> the eight fields with defaults, and whether
+    the record has the right types.  Invalid rows are kept."""
+    document = F.try_parse_json(F.col(json))
+
+    def text(name: str) -> Column:
+        return F.try_variant_get(document, f"$.{name}", "string")
+
+    def absent(name: str) -> Column:
+        return F.try_variant_get(document, f"$.{name}", "variant").isNull()
+
     fields = {name: text(name) for name in POSTING_FIELDS}
-    fields["source"] = F.when(kind("source").isNull(), source).otherwise(text("source"))
-    fields["job_type"] = F.when(kind("job_type").isNull(), F.lit("")).otherwise(text("job_type"))
+    fields["source"] = F.when(absent("source"), source).otherwise(text("source"))
+    fields["job_type"] = F.when(absent("job_type"), F.lit("")).otherwise(text("job_type"))
     return records.select(
         *[c for c in records.columns if c not in POSTING_FIELDS],
         *[fields[name].alias(name) for name in POSTING_FIELDS],
-        valid.alias("is_valid"),
+        record_checks(document).alias("is_valid"),
     )
 
 

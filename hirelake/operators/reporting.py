@@ -110,6 +110,70 @@ def recency_counts(postings: DataFrame, as_of) -> DataFrame:
     )
 
 
+HOUR = 3600
+
+
+def hourly_counts(dated: DataFrame) -> DataFrame:
+    """``hour`` (since 1970, NULL for undated rows) and ``n_jobs`` of rows with
+    ``posted_epoch``.  Tables of parts of a history add up (:func:`merged_hours`)."""
+    hour = F.when(F.col("posted_epoch") != 0, F.floor(F.col("posted_epoch") / HOUR))
+    return dated.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+def merged_hours(counts: DataFrame, more: DataFrame) -> DataFrame:
+    return counts.unionByName(more).groupBy("hour").agg(F.sum("n_jobs").alias("n_jobs"))
+
+
+def _since(hours: DataFrame, dated: DataFrame, edges: dict[str, Column], inside: dict[str, Column]) -> DataFrame:
+    """Per name the rows after ``edges`` (seconds): whole hours from their counts, and
+    of the one hour that an edge cuts the rows that are ``inside``."""
+    cut = {name: F.floor(edge / HOUR) for name, edge in edges.items()}
+    whole = hours.agg(
+        F.coalesce(F.sum("n_jobs"), F.lit(0)).alias("all_time"),
+        *(F.coalesce(F.sum(F.when(F.col("hour") > at, F.col("n_jobs"))), F.lit(0)).alias(n) for n, at in cut.items()),
+        F.coalesce(F.sum(F.when(F.col("hour").isNull(), F.col("n_jobs"))), F.lit(0)).alias("undated"),
+    )
+    epoch = F.col("posted_epoch")
+    # Ranges of the plain column, which a scan of a history sorted by it prunes by.
+    within = {n: (epoch >= at * HOUR) & (epoch < (at + 1) * HOUR) & (epoch != 0) for n, at in cut.items()}
+    near = F.lit(False)
+    for test in within.values():
+        near = near | test
+    cuts = dated.filter(near).agg(
+        F.lit(0).cast("bigint").alias("all_time"),
+        *(F.count_if(within[n] & inside[n]).alias(n) for n in cut),
+        F.lit(0).cast("bigint").alias("undated"),
+    )
+    names = ["all_time", *cut, "undated"]
+    return whole.unionByName(cuts).agg(*(F.sum(n).alias(n) for n in names))
+
+
+def recency_from_hours(hours: DataFrame, dated: DataFrame, as_of) -> DataFrame:
+    """:func:`recency_counts` of a history from its :func:`hourly_counts`.
+
+    ``dated`` is the history itself; of its rows only those are read whose hour
+    is cut by the edge of a window.
+    """
+    age = _now(as_of) - F.col("posted_epoch")
+    return _since(
+        hours,
+        dated,
+        {name: _now(as_of) - seconds for name, seconds in RECENCY_WINDOWS.items()},
+        {name: age < seconds for name, seconds in RECENCY_WINDOWS.items()},
+    )
+
+
+def time_filter_counts(hours: DataFrame, dated: DataFrame, as_of, spans: list[int]) -> DataFrame:
+    """How many rows :func:`time_filter` shows for each span of hours, the same way."""
+    names = {f"last_{span}h": span for span in spans}
+    return _since(
+        hours,
+        dated,
+        {name: F.floor(_now(as_of)) - span * HOUR for name, span in names.items()},
+        {name: within_hours(as_of, span) for name, span in names.items()},
+    )
+
+
 def company_facet(postings: DataFrame) -> DataFrame:
     """Companies by code point, with their slug."""
     return (

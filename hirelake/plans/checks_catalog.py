@@ -189,6 +189,10 @@ QUERIES = {
         lambda i: round_trip(i, sinks.write_json, sinks.read_json),
         f"WITH {sql_final()} SELECT {FIELDS} FROM final",
     ),
+    "sink_json_array": (
+        lambda i: round_trip(i, sinks.write_json_array, sinks.read_json_array),
+        f"WITH {sql_final()} SELECT {FIELDS} FROM final",
+    ),
     "sink_csv": (
         # CSV keeps no difference between a missing and an empty text.
         lambda i: round_trip(i, sinks.write_csv, sinks.read_csv),

@@ -18,6 +18,7 @@ from hirelake.plans.checks_cleaning import (
 )
 from hirelake.plans.views import AS_OF, POSTINGS, WIDE_AGE, Inputs
 from hirelake.schema import POSTING_FIELDS
+from hirelake.session import written
 
 # The clock of the report: inside the range of posting dates.
 NOW = "2001-10-20 12:30:00"
@@ -136,6 +137,16 @@ status AS (
   SELECT DISTINCT -1 - src_no, 'later ' || src_no, 'CAR', 'waiting', 0, '' FROM fetched)"""
 
 
+SPANS = [1, 24, 24 * 90]
+
+
+def from_hours(inputs: Inputs, count):
+    """A history in two parts, its hours counted by part and merged."""
+    dated = written(reporting.with_epoch(inputs.postings()).select("posted_epoch", "src_idx").sort("posted_epoch"), "history")
+    parts = [reporting.hourly_counts(dated.filter(test)) for test in ("src_idx % 2 = 0", "src_idx % 2 = 1")]
+    return count(written(reporting.merged_hours(*parts), "hours"), dated.drop("src_idx"))
+
+
 QUERIES = {
     "standardize": (
         lambda i: reporting.standardize(i.postings()).select(*POSTING_FIELDS),
@@ -171,6 +182,26 @@ QUERIES = {
           count(*) FILTER (ts <> 0 AND age < 172800) AS within_48h,
           count(*) FILTER (ts = 0) AS undated FROM aged""",
     ),
+    "recency_from_hours": (
+        lambda i: from_hours(i, lambda hours, dated: reporting.recency_from_hours(hours, dated, NOW)),
+        f"""WITH postings AS ({POSTINGS}),
+        aged AS (SELECT {SQL_EPOCH} AS ts, {SQL_NOW} - {SQL_EPOCH} AS age FROM postings)
+        SELECT count(*) AS all_time,
+          count(*) FILTER (ts <> 0 AND age < 3600) AS within_1h,
+          count(*) FILTER (ts <> 0 AND age < 10800) AS within_3h,
+          count(*) FILTER (ts <> 0 AND age < 21600) AS within_6h,
+          count(*) FILTER (ts <> 0 AND age < 86400) AS within_24h,
+          count(*) FILTER (ts <> 0 AND age < 172800) AS within_48h,
+          count(*) FILTER (ts = 0) AS undated FROM aged""",
+    ),
+    "time_filter_counts": (
+        lambda i: from_hours(i, lambda hours, dated: reporting.time_filter_counts(hours, dated, NOW, SPANS)),
+        f"""WITH postings AS ({POSTINGS}),
+        dated AS (SELECT {SQL_EPOCH} AS posted_epoch FROM postings)
+        SELECT count(*) AS all_time,
+          {", ".join(f"count(*) FILTER ({_within(span)}) AS last_{span}h" for span in SPANS)},
+          count(*) FILTER (posted_epoch = 0) AS undated FROM dated""",
+    ),
     "company_facet": (
         lambda i: reporting.company_facet(report(i)),
         f"""WITH {SQL_REPORT} SELECT company, count(*) AS n_jobs, {SQL_SLUG} AS slug

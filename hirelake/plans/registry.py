@@ -18,6 +18,7 @@ MODULES = [
     "checks_reports",
     "checks_run",
     "checks_seen",
+    "checks_exchange",
 ]
 
 

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import filled
-from hirelake.operators import pages, paging, payloads
+from hirelake.operators import exchange, pages, paging, payloads
 from hirelake.operators.cleaning import MAX_AGE_DAYS, clean_postings
-from hirelake.operators.model_tables import api_or_model
+from hirelake.operators.model_tables import api_or_model, bypasses_model
 from hirelake.operators.reporting import source_status, standardize
 from hirelake.schema import PAGE_STAT
 from hirelake.session import written
@@ -34,12 +34,16 @@ CATALOG = ["src_idx", "name", "provider", "base_url", "site_number"]
 @dataclass
 class Run:
     """Tables of one run.  ``postings`` carry run_id; ``errors`` are run_id,
-    src_idx, source and error."""
+    src_idx, source and error.  ``asks`` are the requests to a model that are
+    open (ask_id, kind, request), ``invalid`` normalized rows of wrong types;
+    both are None where the run was not given the tables for them."""
 
     postings: DataFrame
     final: DataFrame
     errors: DataFrame
     status: DataFrame
+    asks: DataFrame | None = None
+    invalid: DataFrame | None = None
 
 
 def with_keys(landed: DataFrame, catalog: DataFrame, run_id: int | None = None) -> DataFrame:
@@ -127,6 +131,9 @@ def run_payloads(
     run_id: int | None = None,
     rules: dict[str, paging.StopRule] | None = paging.STOP_RULES,
     stats: DataFrame | None = None,
+    contexts: DataFrame | None = None,
+    answers: DataFrame | None = None,
+    skip_normalization: bool = True,
 ) -> Run:
     """Landed rows -> postings, final rows, errors and status.
 
@@ -147,6 +154,13 @@ def run_payloads(
     their limits bucket by bucket and are not shuffled, however many cycles and
     sources there are; a frame's bodies stay in place while catalog and limits are small.
 
+    ``contexts`` (source, url, context) are pages for a model to read, asked
+    where their source has no flattened rows; ``answers`` (see ``exchange``) are
+    what the model has said so far, in any cycle.  Without
+    ``skip_normalization`` rows of all sources but API ones go through the model
+    in batches, and stay as they are until it has answered.  What is still to be
+    asked is the run's ``asks``; run again with more answers to use them.
+
     ``stats`` (see :func:`arrival_stats`) are pages that were told of before,
     such as those that a stream has released: bodies are not parsed for them
     again, and a landed page that is not among them is not read.
@@ -212,6 +226,27 @@ def run_payloads(
         )
         postings = api_or_model(postings, read, *KEYS)
     tried, errors = _outcomes(found, limits, sources, catalog, run_id, html_pages, responses, attempts)
+    answers = sources.sparkSession.createDataFrame([], exchange.ANSWER) if answers is None else answers
+    asked, invalid = [], None
+    if contexts is not None:
+        pages_to_read = with_keys(contexts, catalog, run_id).filter(F.col("src_idx").isNotNull())
+        asks = written(exchange.extraction_asks(pages_to_read, postings, KEYS), "extraction-asks")
+        asked.append(asks.select("ask_id", "kind", "request"))
+        read = exchange.extracted(asks, answers, KEYS).withColumns(
+            {"provider": F.lit("html"), "page_no": F.lit(0).cast("bigint")}
+        )
+        postings = written(payloads.union_postings(postings, read), "read")
+        tried = tried.unionByName(pages_to_read.select(*KEYS))
+        errors = errors.unionByName(exchange.extraction_failures(asks, answers, KEYS))
+    if not skip_normalization:
+        postings, asks = _normalized(postings, sources, answers)
+        asked.append(asks)
+        invalid = postings.filter("NOT is_valid").select(*KEYS, "source", "title", "url")
+        postings = postings.drop("is_valid")
+    asks = None
+    for part in asked:
+        asks = part if asks is None else asks.unionByName(part)
+    asks = None if asks is None else exchange.open_asks(asks, answers)
     errors = written(errors, "errors")
     attempted = tried.select("src_idx", F.lit(None).cast("string").alias("error")).unionByName(
         errors.select("src_idx", "error")
@@ -228,7 +263,28 @@ def run_payloads(
         .agg(F.sum("landed").alias("pages_landed"), F.sum("kept").alias("pages_kept"))
     )
     final = standardize(clean_postings(postings.drop("run_id"), as_of, max_age_days))
-    return Run(postings, final, errors, source_status(sources, postings, attempted, counts))
+    return Run(postings, final, errors, source_status(sources, postings, attempted, counts), asks, invalid)
+
+
+def _normalized(postings: DataFrame, sources: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows after normalization, with ``is_valid``, and the requests it takes.
+
+    Rows of API sources stay.  The others go by batches of their source and cycle,
+    and an answered row keeps its source's provider and number.
+    """
+    told = sources.select("src_idx", "name", "provider", "type")
+    typed = postings.join(told.select("src_idx", "type"), "src_idx", "left")
+    bypass = bypasses_model(F.coalesce("type", F.lit("career_page")))
+    valid = F.col("title").isNotNull() & F.col("company").isNotNull()
+    stay = typed.filter(bypass).drop("type").withColumn("is_valid", valid)
+    batches = written(exchange.normalization_asks(typed.filter(~bypass).drop("type"), KEYS), "normalization-asks")
+    named = batches.join(told.select("src_idx", "name"), "src_idx", "left")
+    rows = exchange.normalized(named, answers, F.col("name"), KEYS)
+    rows = rows.join(told.select("src_idx", "provider"), "src_idx", "left")
+    return (
+        written(stay.unionByName(rows, allowMissingColumns=True), "normalized"),
+        batches.select("ask_id", "kind", "request"),
+    )
 
 
 def _outcomes(found, limits, sources, catalog, run_id, html_pages, responses, attempts):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import dates
-from hirelake.schema import POSTING, POSTING_FIELDS, RUN_HISTORY
+from hirelake.schema import ORDINAL, POSTING, POSTING_FIELDS, RUN_HISTORY
 
 
 def run_folder(base: str, extension: str, as_of: dt.datetime) -> str:
@@ -31,6 +31,32 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTING).json(path).select(*POSTING_FIELDS)
 
 
+def write_json_array(postings: DataFrame, path: str, order_by: list[str] | None = None) -> str:
+    """Part files that make one JSON array when they are put end to end in name order.
+
+    The first opens it, every element but the first begins with a comma, the last
+    closes it; elements are in ``order_by`` (by default the input order), dealt
+    by range, and no task writes more than its part.
+    """
+    order = order_by or ORDINAL
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    record = F.to_json(F.struct(*POSTING_FIELDS), {"ignoreNullFields": "false"})
+    rows = postings.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Ranges are cut at rows, so the first partition has the first row.
+    first = F.monotonically_increasing_id() == 0
+    lines = rows.select(F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), record).alias("value"))
+    ends = [postings.sparkSession.createDataFrame([(end,)], "value string").coalesce(1) for end in "[]"]
+    ends[0].unionByName(lines).unionByName(ends[1]).write.mode("overwrite").text(path)
+    return path
+
+
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of :func:`write_json_array`, without putting parts together."""
+    schema = ", ".join(f"{name} STRING" for name in POSTING_FIELDS)
+    lines = spark.read.text(path).filter(~F.col("value").isin("[", "]", ""))
+    return lines.select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("x")).select("x.*")
+
+
 def write_csv(postings: DataFrame, path: str) -> str:
     """CSV with header; an empty table still writes the header."""
     (
@@ -63,19 +89,22 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def run_summary(
     final_postings: DataFrame, new_keys: DataFrame, errors: DataFrame, run_id: int, as_of
 ) -> DataFrame:
-    """One row about a run: its counts and an example error."""
-    none = F.lit(None).cast("string")
+    """One row about a run: its counts and its last error, by cycle and source
+    where the errors tell them, among equals by text."""
+    place = [F.col(c).cast("bigint") if c in errors.columns else F.lit(0).cast("bigint") for c in ("run_id", "src_idx")]
+    told = F.struct(*(F.coalesce(p, F.lit(-1)).alias(n) for p, n in zip(place, ("run", "source"))), "error")
+    nothing = F.lit(None).cast("struct<run:bigint,source:bigint,error:string>").alias("error")
     marks = (
-        final_postings.select(F.lit("job").alias("kind"), none.alias("error"))
-        .unionByName(new_keys.select(F.lit("new").alias("kind"), none.alias("error")))
-        .unionByName(errors.select(F.lit("error").alias("kind"), "error"))
+        final_postings.select(F.lit("job").alias("kind"), nothing)
+        .unionByName(new_keys.select(F.lit("new").alias("kind"), nothing))
+        .unionByName(errors.select(F.lit("error").alias("kind"), told.cast("struct<run:bigint,source:bigint,error:string>").alias("error")))
     )
     kind = F.col("kind")
     return marks.agg(
         F.count_if(kind == "job").alias("job_count"),
         F.count_if(kind == "new").alias("new_job_count"),
         F.count_if(kind == "error").alias("error_count"),
-        F.max("error").alias("last_error"),
+        F.max("error").getField("error").alias("last_error"),
     ).select(
         F.lit(run_id).cast("bigint").alias("run_id"),
         dates.instant(as_of).alias("finished_at"),

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirelake.operators import cleaning
@@ -7,6 +8,7 @@ from hirelake.schema import CATALOG_ENTRY, RAW_PAYLOAD
 from hirelake.sources import catalog, sinks
 from hirelake.sources.seen_table import SeenTable
 from hirelake.streaming import cycles
+from hirelake.streaming.closing import STATE_SETTINGS
 
 AS_OF = "2026-03-10 12:00:00"
 
@@ -69,7 +71,23 @@ def test_payload_cycles_report_failures_and_go_on(spark, tmp_path):
     spark.sql("DROP TABLE seen_payloads")
 
 
-def test_keys_once_ever_survive_a_restart(spark, posting_rows, tmp_path):
+@pytest.mark.parametrize("settings", [{}, STATE_SETTINGS])
+def test_keys_once_ever_survive_a_restart(spark, posting_rows, tmp_path, settings):
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        keys_once_ever(spark, posting_rows, tmp_path)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    if settings:
+        # State on disk: files of the store, and the changes of each batch beside its snapshots.
+        state = tmp_path / "checkpoint/state/0/0"
+        assert list(state.glob("*.changelog")) and not list(state.glob("*.delta"))
+
+
+def keys_once_ever(spark, posting_rows, tmp_path):
     landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
 
     def run():
