@@ -9,7 +9,7 @@ from hirelake.functions.text import strip
 
 # Codes of the 50 states and the capital district.
 STATE_CODES = [
-    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DC", "DE", "FL", "GA", "HI", "IA",
+    "AK", "AL", "AR", "AZ", "CA", "CO", "CT", "DC", "DE", "FL", "GA", "HI", "IA",
     "ID", "IL", "IN", "KS", "KY", "LA", "MA", "MD", "ME", "MI", "MN", "MO", "MS",
     "MT", "NC", "ND", "NE", "NH", "NJ", "NM", "NV", "NY", "OH", "OK", "OR", "PA",
     "RI", "SC", "SD", "TN", "TX", "UT", "VA", "VT", "WA", "WI", "WV", "WY",
@@ -41,15 +41,7 @@ FOREIGN_WORDS = [
     "israel", "tel aviv",
 ]
 
-def _word_pattern(words: list[str]) -> str:
-    """One alternative per first letter, so few are tried at each character."""
-    tails: dict[str, list[str]] = {}
-    for word in words:
-        tails.setdefault(word[0], []).append(word[1:])
-    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in tails.items())
-
-
-_FOREIGN_PATTERN = _word_pattern(FOREIGN_WORDS)
+_FOREIGN_PATTERN = "|".join(FOREIGN_WORDS)
 
 
 def is_us_location(location: Column) -> Column:

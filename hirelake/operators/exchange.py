@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from hirelake.functions.text import blank_to_null, filled, or_empty
 from hirelake.operators.model_tables import (
     BATCH_SIZE,
-    POSTING_LIST,
+    answer_elements,
     extract_requests,
+    is_record,
     model_batches,
     record_checks,
-    answer_elements,
-    is_record,
 )
 from hirelake.schema import ORDINAL, POSTING_FIELDS
 
@@ -83,7 +82,7 @@ def _record_fields(element: Column, source: Column, job_type: Column) -> dict[st
 
 def extracted(asks: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the answers to pages: the source's name is the page's, and a row
-    without an address has the page's.  ``page_no`` counts the source's pages by url."""
+    without an address has the page's."""
     rows = asks.filter(F.col("request").isNotNull()).join(_read(answers), "ask_id")
     rows = rows.select(
         *keys, "source", F.col("url").alias("page_url"), F.posexplode("elements").alias("item_no", "element")
@@ -106,15 +105,19 @@ def normalized(batches: DataFrame, answers: DataFrame, names: Column, keys: list
     """Rows of each batch's answer, or its own rows where that is missing, failed or unreadable.
 
     An empty list is an answer: no rows.  A row without a source has ``names``, one
-    without a kind of work an empty one; ``is_valid`` tells whether a record has
-    the right types, and rows that have not are kept.  ``page_no`` and ``item_no``
-    are the batch and the place in it.
+    without a kind of work an empty one; ``is_valid`` tells whether an answered
+    record has the right types, and whether a row of one's own has a title and a
+    company (its other NULLs are absent fields).  Rows that are not valid are
+    kept.  ``page_no`` and ``item_no`` are the batch and the place in it.
     """
     own = F.from_json("jobs_json", "ARRAY<VARIANT>")
     rows = (
         batches.join(_read(answers), "ask_id", "left")
         .withColumn("name", names)
-        .select(*keys, "name", "batch_id", F.posexplode(F.coalesce("elements", own)).alias("item_no", "element"))
+        .withColumn("answered", F.col("elements").isNotNull())
+        .select(
+            *keys, "name", "batch_id", "answered", F.posexplode(F.coalesce("elements", own)).alias("item_no", "element")
+        )
         .filter(is_record(F.col("element")))
     )
     fields = _record_fields(F.col("element"), F.col("name"), F.lit(""))
@@ -123,5 +126,7 @@ def normalized(batches: DataFrame, answers: DataFrame, names: Column, keys: list
         *(fields[n].alias(n) for n in POSTING_FIELDS),
         F.col("batch_id").cast("bigint").alias("page_no"),
         F.col("item_no").cast("bigint").alias("item_no"),
-        record_checks(F.col("element")).alias("is_valid"),
+        F.when(F.col("answered"), record_checks(F.col("element")))
+        .otherwise(fields["title"].isNotNull() & fields["company"].isNotNull())
+        .alias("is_valid"),
     )

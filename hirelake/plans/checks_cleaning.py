@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirelake.functions.location import FOREIGN_WORDS, STATE_CODES, is_us_location
+from hirelake.functions.location import is_us_location
 from hirelake.operators import cleaning, novelty
 from hirelake.plans.views import AS_OF, CYCLES, POSTINGS, WIDE_AGE, Inputs
 from hirelake.schema import POSTING_FIELDS
 
 FIELDS = ", ".join(POSTING_FIELDS)
 _BLANKS = "' ' || chr(9)"
-_WORDS = ", ".join(f"('{word}')" for word in FOREIGN_WORDS)
-_STATES = ", ".join(f"'{code}'" for code in STATE_CODES)
+# The check's own lists, not the operator's.
+_WORDS = """
+    ('alberta'), ('amsterdam'), ('australia'), ('bangalore'), ('beijing'), ('berlin'),
+    ('brazil'), ('british columbia'), ('canada'), ('chennai'), ('china'), ('delhi'),
+    ('dublin'), ('england'), ('france'), ('germany'), ('hyderabad'), ('india'), ('ireland'),
+    ('israel'), ('italy'), ('japan'), ('madrid'), ('melbourne'), ('mexico'), ('milan'),
+    ('mumbai'), ('munich'), ('netherlands'), ('ontario'), ('paris'), ('poland'), ('pune'),
+    ('quebec'), ('rome'), ('scotland'), ('shanghai'), ('singapore'), ('spain'), ('stockholm'),
+    ('sweden'), ('switzerland'), ('sydney'), ('são paulo'), ('tel aviv'), ('tokyo'), ('uk'),
+    ('united kingdom'), ('wales'), ('warsaw'), ('zurich')"""
+_STATES = """
+    'AK', 'AL', 'AR', 'AZ', 'CA', 'CO', 'CT', 'DC', 'DE', 'FL', 'GA', 'HI', 'IA', 'ID', 'IL',
+    'IN', 'KS', 'KY', 'LA', 'MA', 'MD', 'ME', 'MI', 'MN', 'MO', 'MS', 'MT', 'NC', 'ND', 'NE',
+    'NH', 'NJ', 'NM', 'NV', 'NY', 'OH', 'OK', 'OR', 'PA', 'RI', 'SC', 'SD', 'TN', 'TX', 'UT',
+    'VA', 'VT', 'WA', 'WI', 'WV', 'WY'"""
 
 SQL_US = f"""
 CASE WHEN coalesce(location, '') = '' THEN true

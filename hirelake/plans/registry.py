@@ -19,6 +19,7 @@ MODULES = [
     "checks_run",
     "checks_seen",
     "checks_exchange",
+    "checks_landing",
 ]
 
 

@@ -49,6 +49,37 @@ def with_fetch_errors(
     )
 
 
+# A line of a landed file: who was asked, and the envelope of the answer.
+ENVELOPE = "source STRING, run_id BIGINT, src_idx BIGINT, page_no BIGINT, success BOOLEAN, data STRING, error STRING"
+
+
+def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of envelopes as ``LANDED_PAYLOAD`` rows.
+
+    ``data`` is any JSON value and is kept as its text.  A text that came
+    instead of JSON is landed as a string and stays what it was.
+    """
+    lines = spark.read.schema(ENVELOPE).json(path).withColumnRenamed("data", "body")
+    for name, kind in (("fetched_at", "timestamp"), ("status_code", "int")):
+        lines = lines.withColumn(name, F.lit(None).cast(kind))
+    return with_fetch_errors(lines)
+
+
+def land_envelopes(payloads: DataFrame, path: str) -> None:
+    """Append payloads as JSON lines of envelopes, each task its own file."""
+    quoted = F.get_json_object(F.to_json(F.struct(F.col("body").alias("b"))), "$")
+    # The body stands in the line as JSON where it is that, else as a string.
+    body = F.when(F.try_parse_json("body").isNotNull(), F.col("body")).otherwise(
+        F.regexp_extract(quoted, r'(?s)^\{"b":(.*)\}$', 1)
+    )
+    names = ["source", "run_id", "src_idx", "page_no", "success", "error"]
+    head = F.to_json(F.struct(*names))
+    line = F.when(
+        F.col("body").isNotNull(), F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"data":'), body, F.lit("}"))
+    ).otherwise(head)
+    payloads.select(F.regexp_replace(line, "[\r\n]+", " ").alias("value")).write.mode("append").text(path)
+
+
 def land_payloads(payloads: DataFrame, path: str) -> None:
     """Write payloads so that one shape's scan reads only its own files."""
     payloads.write.mode("append").partitionBy("provider").parquet(path)

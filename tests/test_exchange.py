@@ -99,8 +99,8 @@ def test_a_run_asks_then_uses_answers_in_every_cycle(spark):
     got = sorted((r.run_id, r.title, r.url, r.source, r.provider) for r in third.postings.collect() if r.provider == "html")
     expected = [("7", "https://h/x"), ("D", "https://h/x"), ("b", "v"), ("c", "https://h/x")]
     assert got == [(n, t, u, "Html", "html") for n in (1, 2) for t, u in expected]
-    # Rows without a company, and one whose title is a number, have the wrong types and stay.
-    assert sorted(r.title for r in third.invalid.filter("run_id = 1 AND src_idx = 1").collect()) == ["7", "b", "c"]
+    # A number for a title, no company, and echoed nulls are wrong types; the rows stay.
+    assert sorted(r.title for r in third.invalid.filter("run_id = 1 AND src_idx = 1").collect()) == ["7", "D", "b", "c"]
     assert {r.error for r in third.errors.collect()} == {"No text content to parse for Blank"}
     failed = run(answers(spark, (asked[0].ask_id, None, "no memory")))
     assert "LLM call failed for Html: no memory" in {r.error for r in failed.errors.collect()}
