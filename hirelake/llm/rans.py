@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import landed, spread
+from hirelake.llm.common import spread
 from hirelake.session import scratch_dir
 
 BLOCK = 1 << 18
@@ -203,13 +203,32 @@ CHECKPOINT = "part int, run bigint, file string, at bigint, blocks int, ids bigi
 
 @dataclass
 class Archive:
-    """Files of coded ids: where they are, their checkpoints and their frequencies."""
+    """Files of coded ids: where they are, their checkpoints and their frequencies.
+
+    The folder stands alone: ``table`` in it has the frequencies with a checksum,
+    ``checkpoints``, written last, names the files that count.
+    """
 
     folder: str
     checkpoints: DataFrame
     frequencies: np.ndarray
 
 
+def _write_table(spark: SparkSession, folder: str, frequencies: np.ndarray) -> None:
+    data = bytearray(np.asarray(frequencies, "<u4").tobytes())
+    rows = spark.createDataFrame([(data, zlib.crc32(data))], "frequencies binary, crc32 bigint")
+    rows.coalesce(1).write.parquet(f"{folder}/table")
+
+
+def open_archive(spark: SparkSession, folder: str) -> Archive:
+    """An archive that any session has written; its table must match its checksum."""
+    row = spark.read.parquet(f"{folder}/table").first()
+    if zlib.crc32(row.frequencies) != row.crc32:
+        raise ValueError(f"{folder}: the frequency table is damaged")
+    checkpoints = spark.read.schema(CHECKPOINT).parquet(f"{folder}/checkpoints")
+    return Archive(folder, checkpoints, np.frombuffer(bytes(row.frequencies), "<u4").astype(np.int64))
+
+
 def write_ids(encoded: DataFrame, key: str = "doc_id", folder: str | None = None) -> Archive:
     """Write ``ids`` (binary, little-endian unsigned 16-bit) in ascending order of ``key``.
 
@@ -271,7 +290,9 @@ def write_ids(encoded: DataFrame, key: str = "doc_id", folder: str | None = None
         .repartitionByRange(parts, "key")
         .sortWithinPartitions("key", "ids")
     )
-    return Archive(folder, landed(ordered.mapInArrow(run, CHECKPOINT), "checkpoints"), frequencies)
+    _write_table(spark, folder, frequencies)
+    ordered.mapInArrow(run, CHECKPOINT).write.parquet(f"{folder}/checkpoints")
+    return open_archive(spark, folder)
 
 
 def with_starts(checkpoints: DataFrame) -> DataFrame:

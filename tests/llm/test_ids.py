@@ -2,7 +2,10 @@
 
 import itertools
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -155,3 +158,31 @@ def test_packed_rows(spark, odd_documents):
     placed = landed(packing.pack_documents(unique), "packed")
     sequences = packing.sequences(unique, placed).collect()
     assert sum(len(r["ids"]) for r in sequences) == 2 * placed.agg({"length": "sum"}).first()[0]
+
+
+READER = """
+import sys
+from hirelake.session import build_session
+from hirelake.llm import rans
+spark = build_session("reader", **{"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.driver.memory": "1g"})
+rows = rans.read_ids(rans.open_archive(spark, sys.argv[1])).collect()
+print("READ", sorted((r.doc_id, bytes(r.ids).hex()) for r in rows))
+"""
+
+
+def test_archives_are_read_by_another_process(spark, tmp_path):
+    rows = [(n, np.arange(n * 7).astype("<u2").tobytes()) for n in range(1, 20)]
+    encoded = landed(spark.createDataFrame(rows, "doc_id bigint, ids binary"), "ids")
+    folder = str(tmp_path / "archive")
+    rans.write_ids(encoded, folder=folder)
+    told = subprocess.run(
+        [sys.executable, "-c", READER, folder], capture_output=True, text=True, timeout=200, cwd=Path(__file__).parents[2]
+    )
+    line = next(x for x in told.stdout.splitlines() if x.startswith("READ "))
+    assert line == "READ " + str([(k, data.hex()) for k, data in rows])
+    # A table that does not match its checksum is refused.
+    table = spark.read.parquet(f"{folder}/table").collect()
+    broken = [(bytearray(b"\1" + bytes(table[0].frequencies)[1:]), table[0].crc32)]
+    spark.createDataFrame(broken, "frequencies binary, crc32 bigint").write.mode("overwrite").parquet(f"{folder}/table")
+    with pytest.raises(ValueError, match="damaged"):
+        rans.open_archive(spark, folder)
