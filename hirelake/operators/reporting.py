@@ -238,14 +238,16 @@ def search_view(
 
 def view_counts(visible: DataFrame) -> DataFrame:
     """Visible rows per company and over all, with the companies shown."""
+    # A row a company first: only these are rolled up, and each is a company by itself.
+    shown = F.col("company").isNotNull() & (F.col("_jobs") > 0)
     rolled = (
         _with_marker(visible, "company")
+        .groupBy("company")
+        .agg(F.sum("_one").alias("_jobs"))
         .rollup("company")
         .agg(
-            F.sum("_one").alias("visible_jobs"),
-            F.count_distinct(F.when(F.col("_one") == 1, F.col("company"))).alias(
-                "visible_companies"
-            ),
+            F.sum("_jobs").alias("visible_jobs"),
+            F.count_if(shown).alias("visible_companies"),
             F.grouping("company").alias("_total"),
         )
     )
@@ -257,10 +259,16 @@ def view_counts(visible: DataFrame) -> DataFrame:
 
 def headline(flagged: DataFrame) -> DataFrame:
     """Totals, and the label for the number of distinct new keys."""
-    counted = flagged.agg(
-        F.count(F.lit(1)).alias("total_jobs"),
-        F.count_distinct("company").alias("companies"),
-        F.count_distinct(F.when(F.col("is_new"), F.col("dedup_key"))).alias("new_jobs"),
+    # One row a company and new key; what is distinct is counted on these.
+    key = F.when(F.col("is_new"), F.col("dedup_key"))
+    counted = (
+        flagged.groupBy("company", key.alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_jobs"))
+        .agg(
+            F.coalesce(F.sum("_jobs"), F.lit(0)).alias("total_jobs"),
+            F.count_distinct("company").alias("companies"),
+            F.count_distinct("_key").alias("new_jobs"),
+        )
     )
     n = F.col("new_jobs")
     label = F.when(n == 1, F.lit("1 new job")).otherwise(

@@ -123,6 +123,10 @@ def page_errors(inputs: Inputs) -> DataFrame:
     return run.errors.select("run_id", "src_idx", "source", "error")
 
 
+def model_run_status(inputs: Inputs) -> DataFrame:
+    return _run(inputs, _answers(inputs)).status
+
+
 def open_asks(inputs: Inputs) -> DataFrame:
     """By kind: requests of the first run, and those still open after the answers."""
     before, after = _run(inputs, None).asks, _run(inputs, _answers(inputs)).asks
@@ -175,6 +179,21 @@ QUERIES = {
             FROM read WHERE NOT lost AND NOT blank AND page_id % 7 = 3)
         SELECT run_id, page_id AS src_idx, 'site ' || page_id AS source, error FROM told, cycles""",
     ),
+    "model_run_status": (
+        model_run_status,
+        f"""WITH {_ROWS},
+        found AS (SELECT source, count(*) * {CYCLES} AS jobs
+          FROM (SELECT source FROM html UNION ALL SELECT source FROM cards) AS r GROUP BY source),
+        sites AS (SELECT page_id AS src_idx, 'site ' || page_id AS name, 'CAR' AS type_label,
+            CASE WHEN lost THEN 'HTTP 404 for ' || url WHEN blank THEN 'No text content to parse for site ' || page_id
+              WHEN page_id % 7 = 3 THEN 'no memory' ELSE '' END AS error FROM read),
+        shops AS (SELECT DISTINCT k // 50 + {SHOP} AS src_idx, 'Shop ' || k // 50 AS name, 'BRO' AS type_label,
+            '' AS error FROM ({PARTS}) AS p)
+        SELECT s.src_idx, s.name, s.type_label, CASE WHEN s.error <> '' THEN 'error' ELSE 'done' END AS state,
+          coalesce(f.jobs, 0) AS jobs, left(s.error, 120) AS error,
+          CAST(0 AS bigint) AS pages_landed, CAST(0 AS bigint) AS pages_kept
+        FROM (SELECT * FROM sites UNION ALL SELECT * FROM shops) AS s LEFT JOIN found AS f ON s.name = f.source""",
+    ),
     "open_asks": (
         open_asks,
         f"""WITH {_ROWS},

@@ -60,11 +60,13 @@ def run_cycles(
     to the history, and the next cycle runs.
     """
 
-    def cycle(batch: DataFrame, batch_id: int) -> None:
+    def cycle(batch: DataFrame, batch_id: int, done: dict | None = None) -> None:
         spark, moment = batch.sparkSession, as_of(batch_id)
 
         def write(df: DataFrame, name: str) -> DataFrame:
             path = f"{out}/{name}/batch={batch_id}"
+            if done is not None:
+                done[path] = df.schema
             df.write.mode("overwrite").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
@@ -83,11 +85,15 @@ def run_cycles(
         write(run_summary(final, fresh, errors, batch_id, moment), "runs")
 
     def reported(batch: DataFrame, batch_id: int) -> None:
+        done: dict = {}
         try:
-            cycle(batch, batch_id)
+            cycle(batch, batch_id, done)
         except Exception as error:
-            # Its keys may be marked already: they must be new to a later cycle.
+            # Its keys may be marked already: they must be new to a later cycle,
+            # and what it has shown of them must not be there twice then.
             seen.unmark(batch_id, batch.sparkSession)
+            for path, schema in done.items():
+                batch.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(path)
             batch.write.mode("overwrite").parquet(f"{out}/failed/batch={batch_id}")
             none = batch.sparkSession.createDataFrame([], "error string")
             told = batch.sparkSession.createDataFrame([(str(error),)], "error string")

@@ -71,6 +71,31 @@ def test_payload_cycles_report_failures_and_go_on(spark, tmp_path):
     spark.sql("DROP TABLE seen_payloads")
 
 
+def test_a_late_failure_leaves_nothing_shown(spark, posting_rows, tmp_path, monkeypatch):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    table = SeenTable(spark, "seen_late", str(tmp_path / "seen"), buckets=4).create()
+    summary, calls = cycles.run_summary, []
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("history is full")
+        return summary(*args)
+
+    monkeypatch.setattr(cycles, "run_summary", lambda *a: failing(*a) if len(calls) < 2 and a[0].columns != ["error"] else summary(*a))
+    for n in (1, 2):
+        land(posting_rows, landing, n, "Dev", "Ops")
+    stream = cycles.posting_stream(spark, f"{landing}/*", files_per_cycle=1)
+    cycles.run_cycles(
+        stream, table, out, str(tmp_path / "checkpoint"), lambda _: AS_OF, keep_going=True
+    ).awaitTermination(120)
+    new = spark.read.option("basePath", f"{out}/new").parquet(f"{out}/new")
+    assert sorted((r.batch, r.title) for r in new.collect()) == [(1, "Dev"), (1, "Ops")]
+    runs = sinks.read_runs(spark, f"{out}/runs/*").orderBy("run_id").collect()
+    assert [(r.new_job_count, r.last_error) for r in runs] == [(0, "history is full"), (2, None)]
+    spark.sql("DROP TABLE seen_late")
+
+
 @pytest.mark.parametrize("settings", [{}, STATE_SETTINGS])
 def test_keys_once_ever_survive_a_restart(spark, posting_rows, tmp_path, settings):
     before = {name: spark.conf.get(name, None) for name in settings}
