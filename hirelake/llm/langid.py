@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +81,32 @@ def _counts(sample: DataFrame) -> DataFrame:
     return told.groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
 
 
+class Entries(Mapping):
+    """Log frequencies by language of the entries of one kind: a place for each
+    entry, and one matrix for all, which takes a third of the memory of arrays apart."""
+
+    def __init__(self, counts: dict[str, np.ndarray], langs: int, total: np.ndarray):
+        self.place = {entry: i for i, entry in enumerate(counts)}
+        rows = np.array(list(counts.values())).reshape(-1, langs)
+        self.logs = np.log((rows + SMOOTHING) / total).astype(np.float32)
+
+    def __getitem__(self, entry: str) -> np.ndarray:
+        return self.logs[self.place[entry]]
+
+    def __iter__(self):
+        return iter(self.place)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+
 class Model:
     """Log frequencies of words and n-grams by language."""
 
     def __init__(self, langs: list[str], rows: list[tuple[int, str, str, int]], totals: dict):
         self.langs = sorted(langs)
         column = {lang: i for i, lang in enumerate(self.langs)}
-        self.known: list[dict[str, np.ndarray]] = []
+        self.known: list[Entries] = []
         for kind in range(LONGEST + 1):
             counts: dict[str, np.ndarray] = {}
             for k, entry, lang, n in rows:
@@ -94,18 +114,16 @@ class Model:
                     counts.setdefault(entry, np.zeros(len(column)))[column[lang]] = n
             total = np.array([totals.get((lang, kind), 0) for lang in self.langs], float)
             total += SMOOTHING * (len(counts) + 1)
-            self.known.append(
-                {e: np.log((c + SMOOTHING) / total).astype(np.float32) for e, c in counts.items()}
-            )
+            self.known.append(Entries(counts, len(column), total))
 
     def score_word(self, word: str) -> np.ndarray:
-        found = self.known[0].get(word)
-        if found is not None:
-            return found
+        if word in self.known[0].place:
+            return self.known[0][word]
         for n in range(LONGEST, 0, -1):
-            hits = [x for g in grams(word, n) if (x := self.known[n].get(g)) is not None]
+            known = self.known[n]
+            hits = [at for g in grams(word, n) if (at := known.place.get(g)) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return known.logs[hits].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
