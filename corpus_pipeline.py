@@ -55,8 +55,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     groups = jaccard.near_copies(rows, key="_row").select("_row", "group_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "_row"))
     kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("group_id").agg(first.alias("first"))
-    kept = landed(kept.select("first._row"), "kept-rows")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    copies = groups.select("_row").join(kept.select("first._row"), "_row", "left_anti")
+    return rows.join(landed(copies, "copies"), "_row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
