@@ -87,7 +87,7 @@ class Entries(Mapping):
 
     def __init__(self, counts: dict[str, np.ndarray], langs: int, total: np.ndarray):
         self.place = {entry: i for i, entry in enumerate(counts)}
-        rows = np.array(list(counts.values())).reshape(-1, langs)
+        rows = np.array(list(counts.values())).reshape(len(counts), langs)
         self.logs = np.log((rows + SMOOTHING) / total).astype(np.float32)
 
     def __getitem__(self, entry: str) -> np.ndarray:
