@@ -39,6 +39,25 @@ def build_session(app_name: str = "hirelake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Scratch folders that this process has named in the shared folder.
+_SHARED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch folders of this process from the shared folder.
+
+    To be called when results are written: what has been read from intermediate
+    tables cannot be read again afterwards.  Returns how many there were; local
+    ones go when the process ends.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _SHARED:
+        path = hadoop.Path(_SHARED.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder path for intermediate tables.
 
@@ -49,7 +68,9 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     leaf = f"{purpose}-{uuid.uuid4().hex}"
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{leaf}"
+        path = f"{shared.rstrip('/')}/{leaf}"
+        _SHARED.append(path)
+        return path
     if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="hirelake-")
