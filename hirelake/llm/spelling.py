@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import landed, whole_text
+from hirelake.llm.common import landed, spread, whole_text
 
 #: A to Z (lowered) and U+00C0 to U+00FF, as UTF-8.
 RUN = re.compile(rb"(?:[a-z]+|(?:\xc3[\x80-\xbf])+)+")
@@ -107,7 +107,8 @@ BLOCK_KEY = ["length", "at", "to", "rest"]
 
 def blocks(words: DataFrame, shortest: int) -> DataFrame:
     """One row per block, or per two parts of a large one: its key and ``members`` (word, n, part)."""
-    keys = block_keys(words, shortest)
+    # A few bytes of words are many keys: dealt over all tasks first.
+    keys = block_keys(spread(words, "word"), shortest)
     large = keys.groupBy(*BLOCK_KEY).agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
     large = landed(large.select(*BLOCK_KEY, F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "large-blocks")
     parts = F.coalesce("parts", F.lit(1))
