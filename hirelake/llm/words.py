@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 
 from hirelake.llm.common import whole_text
 
-#: Entries a worker remembers, at most, of parts and of pre-tokens each.
-REMEMBERED = 400_000
+#: Entries a worker remembers, at most: parts, and pre-tokens for parts that are not remembered.
+REMEMBERED, REMEMBERED_TOKENS = 250_000, 100_000
 #: White space to Python but not to the vocabulary's pattern.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -67,7 +67,7 @@ class WordIds:
             letters = token.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(letters)]
             value = np.array(ids, "<u2").tobytes()
-            if len(self.pre_tokens) < REMEMBERED:
+            if len(self.pre_tokens) < REMEMBERED_TOKENS:
                 self.pre_tokens[token] = value
         return value
 
