@@ -12,7 +12,8 @@ def standing_in(spark, folder=None, master="local-cluster[2,1,1024]"):
     return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master), _jvm=spark._jvm, _jsc=spark._jsc)
 
 
-def test_scratch_in_the_shared_folder_is_released(spark, tmp_path):
+def test_scratch_in_the_shared_folder_is_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_SHARED", [])
     other = standing_in(spark, f"file://{tmp_path}/shared/")
     path = session.scratch_dir(other, "numbers")
     assert path.startswith(f"file://{tmp_path}/shared/numbers-")
