@@ -22,7 +22,9 @@ from tokenizers import Tokenizer
 from hirelake.llm.common import whole_text
 
 #: Entries a worker remembers, at most: parts, and pre-tokens for parts that are not remembered.
-REMEMBERED, REMEMBERED_TOKENS = 250_000, 100_000
+REMEMBERED = (400_000, 400_000)
+#: The same where workers go on to other stages and keep what they remember.
+REMEMBERED_IN_STAGES = (250_000, 100_000)
 #: White space to Python but not to the vocabulary's pattern.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -37,7 +39,8 @@ def _byte_letters() -> dict[int, str]:
 class WordIds:
     """Encodes texts to little-endian unsigned 16-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: tuple[int, int] = REMEMBERED):
+        most_parts, self.most_tokens = remembered
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
         with open(path, encoding="utf-8") as file:
@@ -55,7 +58,7 @@ class WordIds:
         class Parts(dict):
             def __missing__(self, part):
                 value = b"".join(map(outer._pre_token, outer.split.findall(part)))
-                if len(self) < REMEMBERED:
+                if len(self) < most_parts:
                     self[part] = value
                 return value
 
@@ -67,7 +70,7 @@ class WordIds:
             letters = token.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(letters)]
             value = np.array(ids, "<u2").tobytes()
-            if len(self.pre_tokens) < REMEMBERED_TOKENS:
+            if len(self.pre_tokens) < self.most_tokens:
                 self.pre_tokens[token] = value
         return value
 
@@ -85,18 +88,23 @@ class WordIds:
         return b"".join(map(self.parts.__getitem__, text.lower().split()))
 
 
-_BY_PATH: dict[str, WordIds] = {}
+_KNOWN: dict[tuple, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One encoder per worker process and vocabulary."""
-    if path not in _BY_PATH:
-        _BY_PATH[path] = WordIds(path)
-    return _BY_PATH[path]
+def word_ids(path: str, remembered: tuple[int, int] = REMEMBERED) -> WordIds:
+    """One encoder per worker process, vocabulary and size of memory."""
+    if (path, remembered) not in _KNOWN:
+        _KNOWN[path, remembered] = WordIds(path, remembered)
+    return _KNOWN[path, remembered]
 
 
 def encode_words(
-    documents: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text"
+    documents: DataFrame,
+    path: str,
+    end_id: int,
+    key: str = "doc_id",
+    text: str = "text",
+    remembered: tuple[int, int] = REMEMBERED,
 ) -> DataFrame:
     """``key`` and ``ids``: little-endian unsigned 16-bit, with ``end_id`` behind each text.
 
@@ -105,7 +113,7 @@ def encode_words(
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        own = word_ids(path)
+        own = word_ids(path, remembered)
         for batch in batches:
             rows = [own.encode(x) + end for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [key, "ids"])
