@@ -63,7 +63,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places all pieces of the documents in sequences of 4096 ids."""
     apply_settings(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(words.encode_words(docs, path, END_ID))
+    ids = words.encode_words(docs, path, END_ID, remembered=words.REMEMBERED_IN_STAGES)
+    return packing.pack_documents(ids)
 
 
 STAGES = [
