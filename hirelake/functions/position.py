@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from hirelake.session import written
@@ -22,27 +22,29 @@ def running_position(
     chunk sizes.  A group that holds a third of all rows is therefore spread
     over as many tasks as it has chunks.
     """
-    tagged = df.withColumn("_chunk", chunk)
-    sizes = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+    rows, inside = in_chunks(df, keys, order_by, chunk)
+    placed = rows.withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
+    return placed.drop("_group", "_offset")
+
+
+def in_chunks(
+    df: DataFrame, keys: list[str], order_by: list[str], chunk: Column
+) -> tuple[DataFrame, WindowSpec]:
+    """Rows with ``_group``, their keys and chunk, and ``_offset``, the rows of the
+    keys before the chunk; and the window over a group.
+
+    The group is one column: null keys and chunks are groups like others, and the
+    join and all windows over it share the one exchange that a row goes through.
+    """
+    tagged = df.withColumn("_group", F.struct(*keys, chunk.alias("_chunk")))
+    sizes = tagged.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     before = (
-        Window.partitionBy(*keys)
-        .orderBy("_chunk")
+        Window.partitionBy(*(F.col("_group")[key] for key in keys))
+        .orderBy(F.col("_group")["_chunk"])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(
-        *keys, "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
-    # Null keys and chunks are groups like others, so the join is null-safe.
-    same = F.lit(True)
-    for key in [*keys, "_chunk"]:
-        offsets = offsets.withColumnRenamed(key, f"_of_{key}")
-        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
-    return (
-        tagged.join(offsets, same)
-        .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_chunk", "_offset", *[f"_of_{key}" for key in [*keys, "_chunk"]])
-    )
+    offsets = sizes.select("_group", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    return tagged.join(offsets, "_group"), Window.partitionBy("_group").orderBy(*order_by)
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.position import ranged_position, running_position
+from hirelake.functions.position import in_chunks, ranged_position, running_position
 from hirelake.functions.text import blank_to_null, filled, once, or_empty, strip
 from hirelake.schema import POSTING_FIELDS
 
 BATCH_SIZE = 3
+#: Batches of up to so many rows are read off a window, each row's followers beside it.
+WINDOW_BATCH = 32
 POSTING_LIST = (
     "ARRAY<STRUCT<" + ", ".join(f"{name}: STRING" for name in POSTING_FIELDS) + ">>"
 )
@@ -74,27 +76,62 @@ def model_batches(
     Positions come from :func:`running_position`, or where the caller knows no
     chunk from :func:`ranged_position`, so a source with a third of all rows is
     numbered by many tasks; a group never has more than ``size``.  ``keys`` tell
-    sources apart: by default their names.
+    sources apart: by default their names.  With a chunk, whole rows are shuffled
+    once: a batch is put together where its rows are numbered.
     """
     keys = keys or ["source"]
-    if chunk is None:
-        numbered = ranged_position(postings, keys, order_by)
+    if chunk is not None and size <= WINDOW_BATCH:
+        members = _batches_in_chunks(postings, chunk, order_by, size, keys)
     else:
-        numbered = running_position(postings, keys, order_by, chunk)
-    record = F.struct("position", F.struct(*POSTING_FIELDS).alias("job"))
-    return (
-        numbered.withColumn("batch_id", F.floor(F.col("position") / size))
-        .groupBy(*keys, "batch_id")
-        .agg(F.array_sort(F.collect_list(record)).alias("members"))
+        if chunk is None:
+            numbered = ranged_position(postings, keys, order_by)
+        else:
+            numbered = running_position(postings, keys, order_by, chunk)
+        record = F.struct("position", F.struct(*POSTING_FIELDS).alias("job"))
+        members = (
+            numbered.withColumn("batch_id", F.floor(F.col("position") / size))
+            .groupBy(*keys, "batch_id")
+            .agg(F.array_sort(F.collect_list(record)).alias("members"))
+            .select(*keys, "batch_id", F.transform("members", lambda m: m["job"]).alias("members"))
+        )
+    return members.select(
+        *keys,
+        "batch_id",
+        F.size("members").cast("bigint").alias("n"),
+        F.to_json("members", {"ignoreNullFields": "false"}).alias("jobs_json"),
+    )
+
+
+def _batches_in_chunks(
+    postings: DataFrame, chunk: Column, order_by: list[str], size: int, keys: list[str]
+) -> DataFrame:
+    """``keys``, ``batch_id`` and ``members`` of batches of up to WINDOW_BATCH rows.
+
+    The first row of a batch finds the others behind it in its chunk.  Only what a
+    chunk's end cuts off, less than ``size`` rows on either side, meets again by batch.
+    """
+    rows, inside = in_chunks(postings.withColumn("_job", F.struct(*POSTING_FIELDS)), keys, order_by, chunk)
+    rows = rows.select("_group", "_offset", "_job", *order_by).withColumn("_row", F.row_number().over(inside))
+    position = F.col("_offset") + F.col("_row") - 1
+    slot = F.col("_slot")
+    rows = rows.withColumns({"batch_id": F.floor(position / size), "_slot": position % size})
+    # A row is carried to its place in a batch only: elsewhere the follower is NULL.
+    behind = {f"_{n}": F.lead(F.when(slot == n, F.col("_job")), n).over(inside) for n in range(1, size)}
+    pieces = (
+        rows.withColumns(behind)
+        .filter((slot == 0) | (F.col("_row") <= slot))
         .select(
-            *keys,
+            *(F.col("_group")[key].alias(key) for key in keys),
             "batch_id",
-            F.size("members").cast("bigint").alias("n"),
-            F.to_json(
-                F.transform("members", lambda m: m["job"]), {"ignoreNullFields": "false"}
-            ).alias("jobs_json"),
+            "_slot",
+            F.array_compact(F.array("_job", *behind)).alias("members"),
         )
     )
+    whole = F.size("members") == size
+    piece = F.struct("_slot", "members")
+    cut = pieces.filter(~whole).groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    met = cut.select(*keys, "batch_id", F.flatten(F.transform("pieces", lambda p: p["members"])).alias("members"))
+    return pieces.filter(whole).select(*keys, "batch_id", "members").unionByName(met)
 
 
 def json_in_response(text: Column) -> Column:

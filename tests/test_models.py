@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,45 @@ def test_batches_keep_order(spark, posting_rows, size, sizes):
     assert titles == [f"Job {n}" for n in range(25)]
 
 
+def _exchanged(df, *names):
+    """How many exchanges of a plan carry one of the columns."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = df._sc._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+    return sum(any(f"{name}#" in columns for name in names) for columns in inputs)
+
+
+@pytest.mark.parametrize("size", [2, 3, 40])
+@pytest.mark.parametrize("width", [1, 5])
+def test_batches_over_the_ends_of_chunks(spark, posting_rows, size, width):
+    rows = posting_rows(*[(f"Job {n % 30}", "Co", "Remote") for n in range(61)])
+    # Sources of 31 and 29 rows and one without a name; places repeat, chunks may be NULL.
+    rows = rows.withColumn("source", F.when(F.col("item_no") == 60, None).otherwise(F.concat(F.lit("s"), F.floor(F.col("item_no") / 31).cast("string"))))
+    rows = rows.withColumns({"page_no": F.col("item_no") % 30, "item_no": F.col("item_no") % 30})
+    chunk = F.when(F.col("page_no") >= 2, F.floor(F.col("page_no") / width))
+    got = mt.model_batches(rows.repartition(5), chunk, ["page_no"], size).collect()
+    told = {(r.source, r.batch_id): json.loads(r.jobs_json) for r in got}
+    assert len(told) == len(got) and all(r.n == len(told[r.source, r.batch_id]) for r in got)
+    for source in ("s0", "s1", None):
+        mine = rows.filter(F.col("source").eqNullSafe(source)).orderBy("page_no").collect()
+        numbers = sorted(b for s, b in told if s == source)
+        assert numbers == list(range(-(-len(mine) // size)))
+        batches = [told[source, b] for b in numbers]
+        assert [len(b) for b in batches[:-1]] == [size] * (len(batches) - 1)
+        jobs = [job for b in batches for job in b]
+        assert [j["title"] for j in jobs] == [r.title for r in mine]
+        assert sorted(j["url"] for j in jobs) == sorted(r.url for r in mine)
+
+
+def test_whole_rows_are_shuffled_once_for_batches(spark, posting_rows):
+    df = posting_rows(*[(f"Job {n}", "Test Co", "Remote") for n in range(25)])
+    assert _exchanged(mt.model_batches(df, F.floor(F.col("item_no") / 4), ["item_no"], 3), "description", "_job", "job") == 1
+
+
 @pytest.mark.parametrize(
     ("text", "titles"),
     [
