@@ -66,7 +66,7 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_envelopes(payloads: DataFrame, path: str) -> None:
-    """Append payloads as JSON lines of envelopes, each task its own file."""
+    """Append payloads as JSON lines of envelopes, each task its own file, compressed."""
     quoted = F.get_json_object(F.to_json(F.struct(F.col("body").alias("b"))), "$")
     # The body stands in the line as JSON where it is that, else as a string.
     body = F.when(F.try_parse_json("body").isNotNull(), F.col("body")).otherwise(
@@ -77,7 +77,7 @@ def land_envelopes(payloads: DataFrame, path: str) -> None:
     line = F.when(
         F.col("body").isNotNull(), F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"data":'), body, F.lit("}"))
     ).otherwise(head)
-    payloads.select(F.regexp_replace(line, "[\r\n]+", " ").alias("value")).write.mode("append").text(path)
+    payloads.select(F.regexp_replace(line, "[\r\n]+", " ").alias("value")).write.mode("append").text(path, compression="gzip")
 
 
 def land_payloads(payloads: DataFrame, path: str) -> None:
