@@ -9,6 +9,7 @@ from hirelake.operators import model_tables, pages
 from hirelake.plans.checks_pages import PATTERN
 from hirelake.plans.views import PARTS, POSTINGS, Inputs
 from hirelake.schema import POSTING_FIELDS
+from hirelake.session import bucketed
 
 _ORDER = ["src_idx", "page_no", "item_no", "order_url"]
 # Rows of a source are numbered in chunks of this many orders.
@@ -38,7 +39,7 @@ def batch_rows(inputs: Inputs, size: int) -> DataFrame:
     )
 
 
-def responses(inputs: Inputs) -> DataFrame:
+def responses(inputs: Inputs, made: DataFrame | None = None) -> DataFrame:
     """Answers to the batches: four ways of wrapping an array, and garbage.
     Some answers are empty lists, some calls failed, some are missing."""
     kind = F.col("batch_id") % 5
@@ -52,7 +53,8 @@ def responses(inputs: Inputs) -> DataFrame:
         .otherwise(F.concat(F.lit("No list {"), F.col("n").cast("string")))
     )
     failed = F.when(F.col("batch_id") % 11 == 10, F.lit("timed out"))
-    return batches(inputs).filter(F.col("batch_id") % 13 != 12).select(
+    made = batches(inputs) if made is None else made
+    return made.filter(F.col("batch_id") % 13 != 12).select(
         "source", "batch_id", text.alias("text"), failed.alias("error")
     )
 
@@ -65,7 +67,9 @@ def _sites(inputs: Inputs) -> DataFrame:
 
 
 def applied(inputs: Inputs) -> DataFrame:
-    return model_tables.apply_responses(batches(inputs), responses(inputs)).select(
+    # Batches are made once and dealt by their key, so that answers meet them in place.
+    made = bucketed(batches(inputs), ["source", "batch_id"], "batches")
+    return model_tables.apply_responses(made, responses(inputs, made)).select(
         *POSTING_FIELDS, "batch_id", "item_no"
     )
 

@@ -4,7 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from hirelake.operators import exchange
 from hirelake.operators import model_tables as mt
+from hirelake.plans import checks_exchange, checks_models, checks_reports
+from hirelake.plans.run import Run
 from hirelake.schema import MODEL_RESPONSE
 
 
@@ -107,3 +110,48 @@ def test_bypass(spark):
     df = spark.createDataFrame([("api",), ("browser",), ("career_page",)], "t string")
     assert [r[0] for r in df.select(mt.bypasses_model(F.col("t"))).collect()] == [True, False, False]
     assert all(r[0] for r in df.select(mt.bypasses_model(F.col("t"), True)).collect())
+
+
+class _Postings:
+    """Inputs of given postings alone."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def postings(self):
+        return self.rows
+
+
+def test_answers_meet_their_batches_in_place(spark, posting_rows):
+    rows = _Postings(posting_rows(*[(f"Job {n}", "Supplier 1", "x") for n in range(40)]))
+    got = checks_models.applied(rows)
+    assert _exchanged(got, "jobs_json", "parsed", "_job", "description") == 0
+    # Of batches 0 to 13: 6 is answered by an empty list, 13 cannot: 13 is 3 mod 5 and 6 mod 7.
+    assert sorted({r.batch_id for r in got.collect()}) == [n for n in range(13) if n != 6]
+    assert got.filter("company = 'Vendor 1'").count() == 3 * 8
+
+
+def test_rows_of_one_time_are_many_files(spark):
+    rows = _Postings(spark.range(40_000).select(F.lit("").alias("date_posted"), F.col("id").alias("src_idx")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hours, dated = checks_reports.from_hours(rows, lambda hours, dated: (hours.collect(), dated))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [tuple(r) for r in hours] == [(None, 40_000)] and dated.columns == ["posted_epoch"]
+    sizes = [r["count"] for r in dated.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 10_000
+
+
+def test_the_first_run_is_made_once(spark, monkeypatch):
+    runs = []
+
+    def run(inputs, answers):
+        runs.append(answers)
+        asks = spark.createDataFrame([("a", "extract", "Source: site 1\n")], "ask_id string, kind string, request string")
+        return Run(None, None, None, None, asks if answers is None else exchange.open_asks(asks, answers))
+
+    monkeypatch.setattr(checks_exchange, "_run", run)
+    told = {(r.state, r.kind): r.n_asks for r in checks_exchange.open_asks(None).collect()}
+    assert told == {("first", "extract"): 1}
+    assert len(runs) == 3 and runs[0] is None and None not in runs[1:]
