@@ -107,9 +107,11 @@ def _run(inputs: Inputs, answers: DataFrame | None) -> Run:
     )
 
 
-def _answers(inputs: Inputs) -> DataFrame:
-    """Answers to what is open after each of two runs: pages first, then batches."""
-    told = written(answered(_run(inputs, None).asks), "answers")
+def _answers(inputs: Inputs, first: DataFrame | None = None) -> DataFrame:
+    """Answers to what is open after each of two runs: pages first, then batches.
+
+    ``first`` are the asks of the first run, where the caller has made it."""
+    told = written(answered(_run(inputs, None).asks if first is None else first), "answers")
     more = answered(_run(inputs, told).asks).join(told, "ask_id", "left_anti")
     return written(told.unionByName(more), "answers")
 
@@ -129,7 +131,8 @@ def model_run_status(inputs: Inputs) -> DataFrame:
 
 def open_asks(inputs: Inputs) -> DataFrame:
     """By kind: requests of the first run, and those still open after the answers."""
-    before, after = _run(inputs, None).asks, _run(inputs, _answers(inputs)).asks
+    before = written(_run(inputs, None).asks, "first-asks")
+    after = _run(inputs, _answers(inputs, before)).asks
     counted = [
         rows.groupBy("kind").agg(F.count("*").alias("n_asks")).withColumn("state", F.lit(state))
         for state, rows in (("first", before), ("open", after))
