@@ -142,7 +142,10 @@ SPANS = [1, 24, 24 * 90]
 
 def from_hours(inputs: Inputs, count):
     """A history in two parts, its hours counted by part and merged."""
-    dated = written(reporting.with_epoch(inputs.postings()).select("posted_epoch", "src_idx").sort("posted_epoch"), "history")
+    # Half of the rows may have one time, 0: the row's number lets a range end among them.
+    rows = reporting.with_epoch(inputs.postings()).select("posted_epoch", "src_idx")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).sort("posted_epoch", "_row")
+    dated = written(rows.drop("_row"), "history")
     parts = [reporting.hourly_counts(dated.filter(test)) for test in ("src_idx % 2 = 0", "src_idx % 2 = 1")]
     return count(written(reporting.merged_hours(*parts), "hours"), dated.drop("src_idx"))
 
