@@ -263,7 +263,8 @@ class LevelledSeen:
         firsts = written(
             first_wins(keyed(postings)).select("dedup_key", "title", "company", "url"), "batch-keys"
         )
-        known = self.known_keys(firsts.select("dedup_key"), now)
+        # Written, so that few known keys are broadcast and the batch's rows do not move again.
+        known = written(self.known_keys(firsts.select("dedup_key"), now), "known-keys")
         fresh = firsts.join(known, "dedup_key", "left_anti").select(
             "dedup_key",
             "title",

@@ -128,3 +128,18 @@ def test_folder_and_manifest(spark, tmp_path):
     assert not folder.put("manifest/a.json", "{}")
     assert folder.names("manifest") == ["a.json"]
     assert Manifest.of(folder.read("manifest/a.json")) == Manifest(3, 4, [], {"1": 2}, [5])
+
+
+def test_known_keys_are_written_before_they_meet_the_batch(table, posting_rows, monkeypatch):
+    """So planning knows that they are few, and the batch's rows are not shuffled for them."""
+    kept, plain = {}, seen_levels.written
+
+    def written(df, purpose):
+        kept[purpose] = plain(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(seen_levels, "written", written)
+    table.mark(posting_rows(("a", "Acme", "x"), ("b", "Acme", "x")), AS_OF, 1)
+    fresh = table.mark(posting_rows(("b", "Acme", "x"), ("c", "Acme", "x")), AS_OF, 2)
+    assert titles(fresh) == ["c"]
+    assert [r.dedup_key for r in kept["known-keys"].collect()] == ["b|acme|x"]
