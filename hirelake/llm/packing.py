@@ -55,8 +55,9 @@ class _Left:
     """A multiset of sizes with the distinct ones in order."""
 
     def __init__(self, sizes, length: int):
-        self.count = np.bincount(sizes, minlength=length + 1)
-        self.sizes = np.flatnonzero(self.count).tolist()
+        # Plain integers: the search reads and changes single counts millions of times.
+        self.count = np.bincount(sizes, minlength=length + 1).tolist()
+        self.sizes = [size for size, n in enumerate(self.count) if n]
 
     def take(self, size: int) -> None:
         self.count[size] -= 1
@@ -86,22 +87,24 @@ def fillings(left: _Left, room: int, limit: int = BRANCHES) -> list[tuple[int, .
     if not single:
         return [()]
     found = {(single,): single}
-    tried = bisect_left(left.sizes, room + 1)
-    for first in left.sizes[max(0, tried - 4 * limit) : tried][::-1]:
+    sizes, count = left.sizes, left.count
+    tried = bisect_left(sizes, room + 1)
+    for first in sizes[max(0, tried - 4 * limit) : tried][::-1]:
         picked, rest = [first], room - first
-        left.count[first] -= 1
+        count[first] -= 1
         while rest:
-            # Does a pair of sizes close the gap exactly?
-            size = min(rest, left.sizes[-1])
-            while size and not left.count[size]:
-                size = left.at_most(size - 1)
-            if not size:
+            # The largest that fits and has not been picked up already.
+            n = bisect_left(sizes, rest + 1) - 1
+            while n >= 0 and not count[sizes[n]]:
+                n -= 1
+            if n < 0:
                 break
+            size = sizes[n]
             picked.append(size)
-            left.count[size] -= 1
+            count[size] -= 1
             rest -= size
         for size in picked:
-            left.count[size] += 1
+            count[size] += 1
         total = room - rest
         if len(picked) == 1 or total > single:
             found[tuple(picked)] = total

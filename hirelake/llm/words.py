@@ -52,24 +52,29 @@ class WordIds:
         self.model = self.library.model
         self.split = regex.compile(split)
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        every = np.arange(1 << 16, dtype="<u2").tobytes()
+        self.two_bytes = [every[n : n + 2] for n in range(0, len(every), 2)]
         self.pre_tokens: dict[str, bytes] = {}
         outer = self
 
         class Parts(dict):
             def __missing__(self, part):
-                value = b"".join(map(outer._pre_token, outer.split.findall(part)))
+                if part.isascii() and part.isalpha():  # one run, and its own stand-in
+                    value = outer._pre_token(part, part)
+                else:
+                    value = b"".join(map(outer._pre_token, outer.split.findall(part)))
                 if len(self) < most_parts:
                     self[part] = value
                 return value
 
         self.parts = Parts()
 
-    def _pre_token(self, token: str) -> bytes:
+    def _pre_token(self, token: str, letters: str | None = None) -> bytes:
         value = self.pre_tokens.get(token)
         if value is None:
-            letters = token.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(letters)]
-            value = np.array(ids, "<u2").tobytes()
+            if letters is None:
+                letters = token.encode().decode("latin-1").translate(self.letters)
+            value = b"".join([self.two_bytes[t.id] for t in self.model.tokenize(letters)])
             if len(self.pre_tokens) < self.most_tokens:
                 self.pre_tokens[token] = value
         return value

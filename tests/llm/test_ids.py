@@ -30,6 +30,13 @@ def _library_ids(text, end):
     return np.append(ids, np.uint16(end))
 
 
+def test_letter_runs_are_not_split():
+    text = "Plain letters Only ofthwheaor"
+    ids = words.WordIds(PATH, (0, 0))
+    ids.split = None
+    assert ids.encode(text) == ids.whole(text)
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     ids = (rng.zipf(1.3, 70_000) % 5000).astype(np.uint16)
@@ -143,6 +150,14 @@ def test_branch_and_bound_beats_best_fit():
     assert len(packing.pack_sizes(sizes, 4096)) < len(packing.best_fit(sizes, 4096))
 
 
+def test_search_counts_in_plain_integers():
+    left = packing._Left([3, 3, 5, 9], 20)
+    assert {type(n) for n in left.count} == {int}
+    before = list(left.count)
+    assert packing.fillings(left, 11) == [(5, 3, 3), (3, 5, 3), (9,)]
+    assert left.count == before
+
+
 def test_packed_rows(spark, odd_documents):
     frame = odd_documents(*((n, "some words " * (n % 90)) for n in range(100, 900)))
     encoded = landed(words.encode_words(frame, PATH, 1), "ids")
