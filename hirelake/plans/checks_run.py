@@ -14,14 +14,16 @@ from hirelake.plans.checks_catalog import SQL_LIMITS
 from hirelake.plans.checks_payloads import _COLUMNS, _UNION, CLOCK, every_payload
 from hirelake.plans.run import Run, run_payloads
 from hirelake.plans.views import FETCH_PAGES, PARTS, Inputs
+from hirelake.session import written
 
 NAMES = list(payloads.SHAPES)
 
 
 def landed(inputs: Inputs) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, NAMES)), F.col("provider")) - 1
+    # Landed before they are read: a run reads its payloads more than once.
     rows = (
-        every_payload(inputs)
+        written(every_payload(inputs), "payloads")
         .withColumn("src_idx", F.col("src_idx") * 16 + place)
         .withColumn("run_id", F.explode(F.array(*[F.lit(n).cast("bigint") for n in range(3)])))
     )

@@ -1,7 +1,11 @@
 import json
 
+from pyspark.sql import functions as F
+
 from hirelake.plans import run as plan
-from hirelake.operators import paging
+from hirelake.operators import paging, payloads
+from hirelake.plans import checks_payloads, checks_run
+from hirelake.plans.views import Inputs
 from hirelake.schema import CATALOG_ENTRY, LANDED_PAYLOAD
 from hirelake.session import written
 from hirelake.sources import catalog
@@ -68,3 +72,19 @@ def test_bodies_are_not_shuffled(spark, tmp_path):
     assert "SortMergeJoin" not in told
     assert not any("Exchange" in line and "body" in line for line in told.splitlines())
     assert kept.count() == 1
+
+
+def test_payloads_are_built_once(spark, tmp_path):
+    parts = [(n, f"part {n % 7}", f"brand {n % 3}", f"type {n % 5}", n % 9) for n in [*range(45), 3]]
+    parts.append((None, "none", None, "type", 1))
+    columns = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int"
+    spark.createDataFrame(parts, columns).write.parquet(str(tmp_path / "part.parquet"))
+    inputs = Inputs(spark, str(tmp_path))
+    built, rows = checks_payloads.every_payload(inputs), checks_run.landed(inputs)
+    # Facts are shuffled, not eleven jobs that repeat them; a run reads what was landed.
+    assert "job_github" not in built._jdf.queryExecution().optimizedPlan().toString()
+    told = rows._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" not in told and "Exchange" not in told
+    keys = ["provider", "src_idx", "page_no", "body"]
+    first = sorted(map(str, rows.filter("run_id = 0").withColumn("src_idx", F.expr("src_idx div 16")).select(keys).collect()))
+    assert first == sorted(map(str, built.select(keys).collect())) and len(first) == 4 * len(payloads.SHAPES)
