@@ -181,8 +181,9 @@ def answer_elements(text: Column) -> Column:
 
 
 def is_record(element: Column) -> Column:
-    """Whether a variant is an object."""
-    return F.schema_of_variant(element).startswith("OBJECT")
+    """Whether a variant is an object: only such is read as a struct, whatever its fields."""
+    read = F.try_variant_get(element, "$", "struct<title variant>")
+    return F.when(element.isNotNull(), read.isNotNull())
 
 
 def _posting_of(element: Column) -> Column:

@@ -7,10 +7,12 @@ and the same pages and cards come in a second cycle, so all answers serve twice.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.plans.run import Run, run_payloads
+from hirelake.plans.run import Reading, Run, answered_run, read_payloads
 from hirelake.plans.views import AS_OF, PARTS, Inputs
 from hirelake.schema import LANDED_PAYLOAD, POSTING_FIELDS
 from hirelake.session import written
@@ -98,41 +100,61 @@ def answered(asks: DataFrame) -> DataFrame:
     )
 
 
-def _run(inputs: Inputs, answers: DataFrame | None) -> Run:
+def _read(inputs: Inputs) -> Reading:
     fetched = _fetched(inputs)
     readable = fetched.filter("success").select("run_id", "source", "url", F.coalesce("html", F.lit("")).alias("context"))
-    return run_payloads(
+    return read_payloads(
         inputs.spark.createDataFrame([], LANDED_PAYLOAD), _sources(inputs), AS_OF, cards=_cards(inputs),
-        html_pages=fetched, contexts=readable, answers=answers, skip_normalization=False,
+        html_pages=fetched, contexts=readable,
     )
 
 
-def _answers(inputs: Inputs, first: DataFrame | None = None) -> DataFrame:
+class _Pages:
+    """What there is to read: read when a run first needs it, and once for all runs."""
+
+    def __init__(self, inputs: Inputs):
+        self.inputs = inputs
+
+    @cached_property
+    def reading(self) -> Reading:
+        return _read(self.inputs)
+
+
+def _run(pages: _Pages, answers: DataFrame | None) -> Run:
+    return answered_run(pages.reading, answers, skip_normalization=False)
+
+
+def _answers(pages: _Pages, first: DataFrame | None = None) -> DataFrame:
     """Answers to what is open after each of two runs: pages first, then batches.
 
     ``first`` are the asks of the first run, where the caller has made it."""
-    told = written(answered(_run(inputs, None).asks if first is None else first), "answers")
-    more = answered(_run(inputs, told).asks).join(told, "ask_id", "left_anti")
+    told = written(answered(_run(pages, None).asks if first is None else first), "answers")
+    more = answered(_run(pages, told).asks).join(told, "ask_id", "left_anti")
     return written(told.unionByName(more), "answers")
 
 
+def _final_run(inputs: Inputs) -> Run:
+    pages = _Pages(inputs)
+    return _run(pages, _answers(pages))
+
+
 def normalized_run(inputs: Inputs) -> DataFrame:
-    return _run(inputs, _answers(inputs)).postings.select("run_id", "provider", *POSTING_FIELDS)
+    return _final_run(inputs).postings.select("run_id", "provider", *POSTING_FIELDS)
 
 
 def page_errors(inputs: Inputs) -> DataFrame:
-    run = _run(inputs, _answers(inputs))
-    return run.errors.select("run_id", "src_idx", "source", "error")
+    return _final_run(inputs).errors.select("run_id", "src_idx", "source", "error")
 
 
 def model_run_status(inputs: Inputs) -> DataFrame:
-    return _run(inputs, _answers(inputs)).status
+    return _final_run(inputs).status
 
 
 def open_asks(inputs: Inputs) -> DataFrame:
     """By kind: requests of the first run, and those still open after the answers."""
-    before = written(_run(inputs, None).asks, "first-asks")
-    after = _run(inputs, _answers(inputs, before)).asks
+    pages = _Pages(inputs)
+    before = written(_run(pages, None).asks, "first-asks")
+    after = _run(pages, _answers(pages, before)).asks
     counted = [
         rows.groupBy("kind").agg(F.count("*").alias("n_asks")).withColumn("state", F.lit(state))
         for state, rows in (("first", before), ("open", after))

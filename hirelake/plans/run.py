@@ -46,6 +46,23 @@ class Run:
     invalid: DataFrame | None = None
 
 
+@dataclass
+class Reading:
+    """What a run has read without a model (:func:`read_payloads`): its tables are
+    written, and :func:`answered_run` goes on from them as often as there are answers."""
+
+    sources: DataFrame
+    found: DataFrame
+    stats: DataFrame
+    limits: DataFrame
+    postings: DataFrame
+    tried: DataFrame
+    errors: DataFrame
+    asks: DataFrame | None
+    as_of: object
+    max_age_days: int
+
+
 def with_keys(landed: DataFrame, catalog: DataFrame, run_id: int | None = None) -> DataFrame:
     """Landed rows with run_id, src_idx and what the catalog says of the source.
 
@@ -165,6 +182,30 @@ def run_payloads(
     such as those that a stream has released: bodies are not parsed for them
     again, and a landed page that is not among them is not read.
     """
+    reading = read_payloads(
+        raw_payload, sources, as_of, cards, listings, extracted, max_age_days, html_pages, responses, attempts,
+        run_id, rules, stats, contexts,
+    )
+    return answered_run(reading, answers, skip_normalization)
+
+
+def read_payloads(
+    raw_payload: DataFrame | BucketedLanding,
+    sources: DataFrame,
+    as_of,
+    cards: DataFrame | None = None,
+    listings: DataFrame | None = None,
+    extracted: DataFrame | None = None,
+    max_age_days: int = MAX_AGE_DAYS,
+    html_pages: DataFrame | None = None,
+    responses: DataFrame | None = None,
+    attempts: DataFrame | None = None,
+    run_id: int | None = None,
+    rules: dict[str, paging.StopRule] | None = paging.STOP_RULES,
+    stats: DataFrame | None = None,
+    contexts: DataFrame | None = None,
+) -> Reading:
+    """The part of :func:`run_payloads` that takes no answers of a model."""
     sources = written(sources, "sources")
     catalog = sources.select(*CATALOG)
     buckets = raw_payload if isinstance(raw_payload, BucketedLanding) else None
@@ -226,18 +267,27 @@ def run_payloads(
         )
         postings = api_or_model(postings, read, *KEYS)
     tried, errors = _outcomes(found, limits, sources, catalog, run_id, html_pages, responses, attempts)
-    answers = sources.sparkSession.createDataFrame([], exchange.ANSWER) if answers is None else answers
-    asked, invalid = [], None
+    asks = None
     if contexts is not None:
         pages_to_read = with_keys(contexts, catalog, run_id).filter(F.col("src_idx").isNotNull())
         asks = written(exchange.extraction_asks(pages_to_read, postings, KEYS), "extraction-asks")
-        asked.append(asks.select("ask_id", "kind", "request"))
-        read = exchange.extracted(asks, answers, KEYS).withColumns(
+        tried = tried.unionByName(pages_to_read.select(*KEYS))
+    return Reading(sources, found, stats, limits, postings, tried, errors, asks, as_of, max_age_days)
+
+
+def answered_run(reading: Reading, answers: DataFrame | None = None, skip_normalization: bool = True) -> Run:
+    """A run from what was read and what a model has said so far."""
+    sources, postings, tried, errors = reading.sources, reading.postings, reading.tried, reading.errors
+    found, stats, limits = reading.found, reading.stats, reading.limits
+    answers = sources.sparkSession.createDataFrame([], exchange.ANSWER) if answers is None else answers
+    asked, invalid = [], None
+    if reading.asks is not None:
+        asked.append(reading.asks.select("ask_id", "kind", "request"))
+        read = exchange.extracted(reading.asks, answers, KEYS).withColumns(
             {"provider": F.lit("html"), "page_no": F.lit(0).cast("bigint")}
         )
         postings = written(payloads.union_postings(postings, read), "read")
-        tried = tried.unionByName(pages_to_read.select(*KEYS))
-        errors = errors.unionByName(exchange.extraction_failures(asks, answers, KEYS))
+        errors = errors.unionByName(exchange.extraction_failures(reading.asks, answers, KEYS))
     if not skip_normalization:
         postings, asks = _normalized(postings, sources, answers)
         asked.append(asks)
@@ -262,7 +312,7 @@ def run_payloads(
         .groupBy("src_idx")
         .agg(F.sum("landed").alias("pages_landed"), F.sum("kept").alias("pages_kept"))
     )
-    final = standardize(clean_postings(postings.drop("run_id"), as_of, max_age_days))
+    final = standardize(clean_postings(postings.drop("run_id"), reading.as_of, reading.max_age_days))
     return Run(postings, final, errors, source_status(sources, postings, attempted, counts), asks, invalid)
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.position import ranged, ranged_position
 from hirelake.operators import exchange, model_tables
-from hirelake.plans.run import run_payloads
+from hirelake.operators.model_tables import is_record
+from hirelake.plans import checks_exchange
+from hirelake.plans.run import Run, answered_run, read_payloads, run_payloads
 from hirelake.schema import LANDED_PAYLOAD, POSTING
 from hirelake.sources import sinks
 
@@ -141,3 +143,44 @@ def test_parts_are_one_array(spark, posting_rows, tmp_path):
         sinks.write_json_array(rows.limit(n), path)
         assert len(json.loads(joined(path))) == n
     assert json.loads(joined(path))[0].keys() == {c.split()[0] for c in POSTING.split(", ")[:8]}
+
+
+def test_answers_are_used_without_reading_again(spark, monkeypatch):
+    reads, runs = [], []
+    asks = spark.createDataFrame([("a", "extract", "Source: site 1\n")], "ask_id string, kind string, request string")
+
+    def run(reading, told, skip_normalization):
+        runs.append(reading)
+        return Run(None, None, asks.selectExpr("1 run_id", "1 src_idx", "kind source", "ask_id error"), None, asks)
+
+    monkeypatch.setattr(checks_exchange, "_read", lambda inputs: reads.append(inputs) or "read")
+    monkeypatch.setattr(checks_exchange, "answered_run", run)
+    assert checks_exchange.page_errors("inputs").count() == 1
+    assert reads == ["inputs"] and runs == ["read"] * 3
+
+
+def test_a_reading_gives_what_whole_runs_give(spark):
+    landed = spark.createDataFrame(
+        [("Api", 1, True, "", json.dumps([{"text": "Dev"}]), None, None, 1, 0)], LANDED_PAYLOAD
+    )
+    contexts = spark.createDataFrame(
+        [(1, s, "https://h/x", c) for s, c in (("Html", "some text"), ("Blank", ""), ("Api", "t"))],
+        "run_id bigint, source string, url string, context string",
+    )
+    reading = read_payloads(landed, sources(spark), AS_OF, contexts=contexts)
+    asked = answered_run(reading, None, False).asks.collect()
+    for text, error in (('[{"title":"a"}]', None), (None, "no memory")):
+        told = answers(spark, (asked[0].ask_id, text, error))
+        on = answered_run(reading, told, False)
+        again = run_payloads(landed, sources(spark), AS_OF, contexts=contexts, answers=told, skip_normalization=False)
+        for name in ("postings", "final", "errors", "status", "asks", "invalid"):
+            one, other = getattr(on, name), getattr(again, name)
+            assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())), name
+
+
+def test_objects_are_records(spark):
+    texts = ["{}", '{"title":null}', '{"x":1}', "[1]", "5", "null", '"OBJECT"', "true", "{"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    told = rows.select("t", is_record(F.try_parse_json("t")).alias("r"))
+    assert [r.r for r in told.collect()] == [True, True, True, False, False, False, False, False, None]
+    assert "schema_of_variant" not in told._jdf.queryExecution().optimizedPlan().toString()
