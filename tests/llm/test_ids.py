@@ -9,6 +9,8 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from hirelake.llm import packing, rans, words
@@ -37,6 +39,52 @@ def test_letter_runs_are_not_split():
     assert ids.encode(text) == ids.whole(text)
 
 
+def test_texts_together_as_one_by_one():
+    rng = random.Random(4)
+    letters = "  \n\x00\x7f\x1c\x85\u180e\u200b ab's-.,ST'll1½²ñΣσİ漢🙂$é́é<|endoftext|>ßẞÅ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    own = words.WordIds(PATH)
+    expected = [_library_ids(x, 2).astype("<u2").tobytes() for x in texts]
+    for step in (1, 7, 2000):
+        found = [own.encode_all(texts[n : n + step], 2).to_pylist() for n in range(0, len(texts), step)]
+        assert list(itertools.chain(*found)) == expected
+    assert [own.encode(x) + b"\2\0" for x in texts] == expected
+    assert own.encode_all([], 2).to_pylist() == []
+
+
+def test_a_part_is_looked_up_once_for_all_texts():
+    own = words.WordIds(PATH, (0, 0))
+    asked, tokenize = [], own.model.tokenize
+
+    class Model:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return tokenize(letters)
+
+    own.model, own.split = Model(), None
+    texts = ["Ofthwheaor ofthwheaor, nägeté."] * 50
+    assert own.encode_all(texts, 2).to_pylist() == [own.whole(texts[0]) + b"\2\0"] * 50
+    # The run, the run with its comma, and the third with its stop.
+    assert len(asked) == 5
+
+
+def test_white_space_of_arrow_is_that_of_python():
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    split = pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in chars]))
+    parts = pc.list_value_length(split).to_numpy()
+    assert [c for c, n in zip(chars, parts) if (n == 2) != c.isspace()] == []
+
+
+def test_rows_keep_their_ids_over_many_takes(spark, odd_documents):
+    rows = [(n, f"{n} word " * 40_000 if n % 3 else f"short {n}") for n in range(100, 145)]
+    frame = odd_documents(*rows).coalesce(1)
+    assert sum(len(text) for _, text in rows) > 2 * words.TOGETHER
+    found = words.encode_words(frame, PATH, 2).collect()
+    own = words.word_ids(PATH)
+    expected = [(r.doc_id, own.encode(r.text or "") + b"\2\0") for r in frame.collect()]
+    assert [(r.doc_id, bytes(r.ids)) for r in found] == expected
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     ids = (rng.zipf(1.3, 70_000) % 5000).astype(np.uint16)
