@@ -30,7 +30,7 @@ REMEMBERED = (400_000, 400_000)
 #: The same where workers go on to other stages and keep what they remember.
 REMEMBERED_IN_STAGES = (250_000, 100_000)
 #: Characters of texts whose parts are looked up together; a longer text is by itself.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 #: Behind a letter run, what is one pre-token of its own; an apostrophe may not be.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space to Python but not to the vocabulary's pattern.
