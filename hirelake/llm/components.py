@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     the smallest node of each component: a logarithmic number of rounds.  Both
     are minima by node, pre-aggregated before the shuffle, and a join; each
     round is written to the shared folder.  Nodes without an edge to another
-    are not in the result; null ends are left out.
+    are not in the result; null ends are left out.  Both sides of a join grow with
+    the edges, so they are merged at every size and none goes through the driver.
     """
 
     def lowest(pairs: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = now.select(F.col("x").alias("node"), F.col("y").alias("other"))
         up = now.select(F.col("y").alias("node"), F.col("x").alias("other"))
         large = ordered(
-            up.join(lowest(down.unionByName(up)), "node").select(
+            up.join(lowest(down.unionByName(up)).hint("merge"), "node").select(
                 F.col("other").alias("x"), F.col("low").alias("y")
             )
         )
@@ -55,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours to the smallest of them.
         down = large.select(F.col("x").alias("node"), F.col("y").alias("other"))
         low = lowest(down)
-        small = down.join(low, "node").select(F.col("other").alias("x"), F.col("low").alias("y"))
+        small = down.join(low.hint("merge"), "node").select(F.col("other").alias("x"), F.col("low").alias("y"))
         now = landed(
             ordered(small.unionByName(low.select(F.col("node").alias("x"), F.col("low").alias("y")))),
             "edges",
@@ -68,21 +69,23 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(members: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
-    """Members with ``left``, ``right`` and ``block``: which pairs of blocks they take part in.
+def blocks_of(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
+    """Members of groups of two at least, with ``blocks``: how many their group is dealt into.
 
-    A group is dealt into blocks of about ``block`` members by a hash; every
-    pair of blocks of a group, and each block with itself, is one unit of work
-    keyed by (group, left, right).  A small group is one block.  So all members
-    of a group meet, however large it is, and no task holds more than two
-    blocks.  ``members`` is used twice.
+    ``members`` is used twice.  It may hold many more rows than the file it is made
+    from tells the optimizer, so it is merged with the sizes at any size.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("bigint").alias("blocks"))
+    n = F.count("*")
+    sizes = members.groupBy(group).agg(n.alias("n"), F.ceil(n / block).cast("bigint").alias("blocks"))
+    return members.join(sizes.filter("n > 1").drop("n").hint("merge"), group)
+
+
+def in_pairs(members: DataFrame, member: str) -> DataFrame:
+    """Members that have ``blocks``, once for each pair of blocks they take part in."""
     own = F.pmod(F.xxhash64(member, F.lit(5)), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     return (
-        members.join(sizes, group)
-        .withColumn("block", own)
+        members.withColumn("block", own)
         .withColumn("with", other)
         .withColumn("left", F.least("block", "with"))
         .withColumn("right", F.greatest("block", "with"))
@@ -90,6 +93,18 @@ def block_pairs(members: DataFrame, group: str, member: str, block: int = BLOCK)
     )
 
 
+def block_pairs(members: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
+    """Members with ``left``, ``right`` and ``block``: which pairs of blocks they take part in.
+
+    A group is dealt into blocks of about ``block`` members by a hash; every
+    pair of blocks of a group, and each block with itself, is one unit of work
+    keyed by (group, left, right).  A small group is one block.  So all members
+    of a group meet, however large it is, and no task holds more than two
+    blocks.  A group of one has no pairs.  ``members`` is used twice.
+    """
+    return in_pairs(blocks_of(members, group, block), member)
+
+
 def smallest_reachable(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the smallest row it reaches."""
     label = np.arange(len(linked))

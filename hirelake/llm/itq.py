@@ -7,7 +7,8 @@ bits, with that bit left out: two codes meet if some part differs in one bit at
 most.  Codes that meet and differ in ``RADIUS`` bits at most are tied, tied
 vectors form a cell, and all vectors of a cell are compared by their cosine in
 double precision, two blocks at a time.  No pair is ever a row: a block pair
-reports numbers of links and a spanning forest of them.
+reports numbers of links and a spanning forest of them.  All joins are merged: the
+optimizer would judge codes by the file they are exploded from, and broadcast them.
 
 Vectors link only within a label.  Null labels and vectors that are null, zero
 or hold a null or a non-finite component link with nothing.
@@ -15,13 +16,15 @@ or hold a null or a non-finite component link with nothing.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import by_group, landed
-from hirelake.llm.components import block_pairs, components, smallest_reachable
+from hirelake.llm.common import by_group, landed, spread
+from hirelake.llm.components import block_pairs, blocks_of, components, in_pairs
 
 THRESHOLD = 0.93
 SAMPLE = 10_000
@@ -29,8 +32,13 @@ ROUNDS = 50
 BITS = 64
 TABLES = 4
 RADIUS = 16
-#: Codes and vectors of a block.
-BLOCK = 512
+#: Codes and vectors of a block: a member of a large group is sent once for each of its blocks.
+BLOCK = 4096
+#: Rows and columns of a block pair that are compared at once.
+TILE = 512
+#: Buckets of up to so many codes are compared side by side with all others of a batch.
+FEW = 32
+_UNIT = ["bucket", "left", "right"]
 
 
 def usable(embedding: str, label: str) -> Column:
@@ -65,7 +73,8 @@ def learn(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[n
 
 
 def _units(column: pa.ListArray) -> np.ndarray:
-    rows = np.stack([np.asarray(x.values, np.float64) for x in column])
+    """Unit vectors of lists of one length."""
+    rows = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
     # Scaled first: the square of a large component need not be finite.
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -105,12 +114,41 @@ def _split(table: pa.Table):
     return (table, left, right) if len(left) and len(right) else None
 
 
-def _both_ways(n: int, left, right, some: np.ndarray) -> np.ndarray:
-    linked = np.zeros((n, n), bool)
-    linked[np.ix_(left, right)] = some
-    linked |= linked.T
-    np.fill_diagonal(linked, False)
-    return linked
+def _unite(tie: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the groups of linked rows; ``tie`` has the smallest row of each row's group."""
+    while True:
+        low, high = np.minimum(tie[x], tie[y]), np.maximum(tie[x], tie[y])
+        apart = low != high
+        if not apart.any():
+            return
+        x, y = x[apart], y[apart]
+        np.minimum.at(tie, high[apart], low[apart])
+        while (tie[tie] != tie).any():
+            tie[:] = tie[tie]
+
+
+def _linked(n: int, left: np.ndarray, right: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows each of ``n`` is linked with, and the smallest row it reaches.
+
+    ``near`` (rows, rows) tells which are linked; it is asked for a tile at a time.
+    """
+    links, tie = np.zeros(n, np.int64), np.arange(n)
+    same = left[0] == right[0]
+    for i in range(0, len(left), TILE):
+        for j in range(i if same else 0, len(right), TILE):
+            a, b = left[i : i + TILE], right[j : j + TILE]
+            some = near(a, b)
+            own = same and i == j
+            if own:
+                some |= some.T
+                np.fill_diagonal(some, False)
+            if some.any():
+                links[a] += some.sum(axis=1)
+                if not own:
+                    links[b] += some.sum(axis=0)
+                x, y = np.nonzero(some)
+                _unite(tie, a[x], b[y])
+    return links, tie
 
 
 def _tie_codes(table: pa.Table) -> pa.RecordBatch | None:
@@ -119,14 +157,57 @@ def _tie_codes(table: pa.Table) -> pa.RecordBatch | None:
         return None
     rows, left, right = parts
     code = rows.column("code").to_numpy().view(np.uint64)
-    apart = np.bitwise_count(code[left][:, None] ^ code[right][None, :])
-    linked = _both_ways(len(code), left, right, apart <= RADIUS)
-    tie = smallest_reachable(linked)
+    _, tie = _linked(
+        len(code), left, right, lambda a, b: np.bitwise_count(code[a][:, None] ^ code[b][None, :]) <= RADIUS
+    )
     told = np.flatnonzero(tie != np.arange(len(tie)))
     node = rows.column("node").to_numpy()
     return pa.RecordBatch.from_arrays([pa.array(node[told]), pa.array(node[tie[told]])], ["x", "y"])
 
 
+def _tie_units(rows: pa.Table, starts: np.ndarray):
+    """Ties of the units of work that begin at ``starts``: of few codes all, else a forest."""
+    left, right, node = (rows.column(c).to_numpy() for c in ("left", "right", "node"))
+    code = rows.column("code").to_numpy().view(np.uint64)
+    sizes = np.diff(np.append(starts, len(node)))
+    few = (sizes <= FEW) & (left[starts] == right[starts])
+    unit = np.where(few, np.arange(len(starts)), -1).repeat(sizes)
+    found = []
+    for apart in range(1, sizes[few].max(initial=1)):
+        at = np.flatnonzero((unit[apart:] == unit[:-apart]) & (unit[apart:] >= 0))
+        at = at[np.bitwise_count(code[at] ^ code[at + apart]) <= RADIUS]
+        found.append((node[at], node[at + apart]))
+    if found:
+        x, y = (pa.array(np.concatenate(ends)) for ends in zip(*found))
+        yield pa.RecordBatch.from_arrays([x, y], ["x", "y"])
+    for n in np.flatnonzero(~few):
+        out = _tie_codes(rows.slice(starts[n], sizes[n]))
+        if out is not None:
+            yield out
+
+
+def _tie_batches(batches):
+    """Ties within each unit of work, from batches sorted by unit.
+
+    A group may spread over batches; no more than one group is held at once
+    beside the batch at hand.
+    """
+    held = None
+    for batch in chain(batches, [None]):
+        tables = [held] if held else []
+        if batch is not None:
+            tables.append(pa.Table.from_batches([batch]))
+        rows = pa.concat_tables(tables).combine_chunks() if tables else None
+        if not rows:
+            continue
+        keys = [rows.column(c).to_numpy() for c in _UNIT]
+        new = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+        starts = np.append(0, np.flatnonzero(new) + 1)
+        end = rows.num_rows if batch is None else starts[-1]
+        held = rows.slice(end)
+        yield from _tie_units(rows.slice(0, end), starts[starts < end])
+
+
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.RecordBatch | None:
         parts = _split(table)
@@ -134,8 +215,7 @@ def _compare(threshold: float):
             return None
         rows, left, right = parts
         unit = _units(rows.column("embedding").combine_chunks())
-        linked = _both_ways(len(unit), left, right, unit[left] @ unit[right].T >= threshold)
-        links, tie = linked.sum(axis=1), smallest_reachable(linked)
+        links, tie = _linked(len(unit), left, right, lambda a, b: unit[a] @ unit[b].T >= threshold)
         told = links > 0
         node = rows.column("node").to_numpy()
         return pa.RecordBatch.from_arrays(
@@ -160,9 +240,9 @@ def near_vectors(
     repeat whole rows, which count once; rows with a null key are left out.
     Should a key have several vectors, the first of them in order is taken.
     """
-    vector = F.struct(
-        F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("embedding")
-    )
+    # Floats stay what they are until they are compared: half as much to move.
+    kind = "array<float>" if dict(embeddings.dtypes)[embedding] == "array<float>" else "array<double>"
+    vector = F.struct(F.col(label).alias("label"), F.col(embedding).cast(kind).alias("embedding"))
     valid = F.when(usable(embedding, label), vector)
     rows = landed(
         embeddings.filter(F.col(key).isNotNull())
@@ -198,13 +278,14 @@ def near_vectors(
             )
         ).alias("bucket"),
     )
-    full = filed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    met = block_pairs(filed.join(full, "bucket"), "bucket", "node", BLOCK)
-    ties = by_group(met, ["bucket", "left", "right"], _tie_codes, "x bigint, y bigint")
+    met = block_pairs(filed, "bucket", "node", BLOCK)
+    ties = spread(met, *_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_tie_batches, "x bigint, y bigint")
     cells = components(ties).withColumnRenamed("component", "cell")
-    work = block_pairs(landed(cells, "cells"), "cell", "node", BLOCK).join(
-        good.select("node", "label", "embedding"), "node"
+    # Vectors join before a row becomes one for each block.
+    celled = blocks_of(landed(cells, "cells"), "cell", BLOCK).join(
+        good.select("node", "embedding").hint("merge"), "node"
     )
+    work = in_pairs(celled, "node")
     found = landed(
         by_group(work, ["cell", "left", "right"], _compare(threshold), "node bigint, tie bigint, links bigint"),
         "links",
@@ -214,8 +295,8 @@ def near_vectors(
     component = F.coalesce("component", "node")
     return (
         rows.select("node")
-        .join(links, "node", "left")
-        .join(groups, "node", "left")
+        .join(links.hint("merge"), "node", "left")
+        .join(groups.hint("merge"), "node", "left")
         .select(
             F.col("node").alias(key),
             F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
