@@ -28,13 +28,14 @@ def running_position(
 
 
 def in_chunks(
-    df: DataFrame, keys: list[str], order_by: list[str], chunk: Column
+    df: DataFrame, keys: list[str], order_by: list[str], chunk: Column, tasks: int | None = None
 ) -> tuple[DataFrame, WindowSpec]:
     """Rows with ``_group``, their keys and chunk, and ``_offset``, the rows of the
     keys before the chunk; and the window over a group.
 
     The group is one column: null keys and chunks are groups like others, and the
-    join and all windows over it share the one exchange that a row goes through.
+    join and all windows over it share the one exchange that a row goes through,
+    into ``tasks`` partitions where that is given.
     """
     tagged = df.withColumn("_group", F.struct(*keys, chunk.alias("_chunk")))
     sizes = tagged.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
@@ -44,6 +45,8 @@ def in_chunks(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.select("_group", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    if tasks:
+        tagged, offsets = (rows.repartition(tasks, "_group") for rows in (tagged, offsets))
     return tagged.join(offsets, "_group"), Window.partitionBy("_group").orderBy(*order_by)
 
 

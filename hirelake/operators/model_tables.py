@@ -70,6 +70,7 @@ def model_batches(
     order_by: list[str],
     size: int = BATCH_SIZE,
     keys: list[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Consecutive groups of ``size`` rows per source, in input order.
 
@@ -77,11 +78,20 @@ def model_batches(
     chunk from :func:`ranged_position`, so a source with a third of all rows is
     numbered by many tasks; a group never has more than ``size``.  ``keys`` tell
     sources apart: by default their names.  With a chunk, whole rows are shuffled
-    once: a batch is put together where its rows are numbered.
+    once: a batch is put together where its rows are numbered.  They go as the text
+    that a batch sends, which is shorter than a row.  With ``tasks`` and a chunk the
+    batches have ``place``, by which they lie in so many tasks.
     """
     keys = keys or ["source"]
     if chunk is not None and size <= WINDOW_BATCH:
-        members = _batches_in_chunks(postings, chunk, order_by, size, keys)
+        members = _batches_in_chunks(postings, chunk, order_by, size, keys, tasks)
+        return members.select(
+            *keys,
+            "batch_id",
+            F.size("members").cast("bigint").alias("n"),
+            F.concat(F.lit("["), F.array_join("members", ","), F.lit("]")).alias("jobs_json"),
+            *(["place"] if tasks else []),
+        )
     else:
         if chunk is None:
             numbered = ranged_position(postings, keys, order_by)
@@ -98,19 +108,25 @@ def model_batches(
         *keys,
         "batch_id",
         F.size("members").cast("bigint").alias("n"),
-        F.to_json("members", {"ignoreNullFields": "false"}).alias("jobs_json"),
+        _sent("members").alias("jobs_json"),
     )
 
 
+def _sent(jobs: Column | str) -> Column:
+    return F.to_json(jobs, {"ignoreNullFields": "false"})
+
+
 def _batches_in_chunks(
-    postings: DataFrame, chunk: Column, order_by: list[str], size: int, keys: list[str]
+    postings: DataFrame, chunk: Column, order_by: list[str], size: int, keys: list[str], tasks: int | None
 ) -> DataFrame:
-    """``keys``, ``batch_id`` and ``members`` of batches of up to WINDOW_BATCH rows.
+    """``keys``, ``batch_id``, ``members`` (texts) and ``place`` of batches of up to WINDOW_BATCH rows.
 
     The first row of a batch finds the others behind it in its chunk.  Only what a
-    chunk's end cuts off, less than ``size`` rows on either side, meets again by batch.
+    chunk's end cuts off, less than ``size`` rows on either side, meets again by batch,
+    in the place of the first of them.
     """
-    rows, inside = in_chunks(postings.withColumn("_job", F.struct(*POSTING_FIELDS)), keys, order_by, chunk)
+    jobs = postings.withColumn("_job", _sent(F.struct(*POSTING_FIELDS)))
+    rows, inside = in_chunks(jobs, keys, order_by, chunk, tasks)
     rows = rows.select("_group", "_offset", "_job", *order_by).withColumn("_row", F.row_number().over(inside))
     position = F.col("_offset") + F.col("_row") - 1
     slot = F.col("_slot")
@@ -122,6 +138,7 @@ def _batches_in_chunks(
         .filter((slot == 0) | (F.col("_row") <= slot))
         .select(
             *(F.col("_group")[key].alias(key) for key in keys),
+            F.col("_group").alias("place"),
             "batch_id",
             "_slot",
             F.array_compact(F.array("_job", *behind)).alias("members"),
@@ -129,9 +146,15 @@ def _batches_in_chunks(
     )
     whole = F.size("members") == size
     piece = F.struct("_slot", "members")
-    cut = pieces.filter(~whole).groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    met = cut.select(*keys, "batch_id", F.flatten(F.transform("pieces", lambda p: p["members"])).alias("members"))
-    return pieces.filter(whole).select(*keys, "batch_id", "members").unionByName(met)
+    cut = (
+        pieces.filter(~whole)
+        .groupBy(*keys, "batch_id")
+        .agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.min("place").alias("place"))
+    )
+    met = cut.withColumn("members", F.flatten(F.transform("pieces", lambda p: p["members"]))).drop("pieces")
+    if tasks:
+        met = met.repartition(tasks, "place")
+    return pieces.filter(whole).drop("_slot").unionByName(met)
 
 
 def json_in_response(text: Column) -> Column:
@@ -231,17 +254,18 @@ def parse_responses(responses: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def apply_responses(batches: DataFrame, responses: DataFrame) -> DataFrame:
+def apply_responses(batches: DataFrame, responses: DataFrame, place: str | None = None) -> DataFrame:
     """Normalized rows of each batch, its own rows where the response is
     missing, failed or unreadable.  An empty list is an answer: no rows.
-    Elements of an answer that are no objects are left out."""
+    Elements of an answer that are no objects are left out.  ``place`` is a column
+    of both that follows from the batch, where both lie in order of it."""
+    by = ["source", "batch_id", *([place] if place else [])]
     answers = responses.select(
-        "source",
-        "batch_id",
+        *by,
         F.when(~filled(F.col("error")), parsed_list(F.col("text"))).alias("parsed"),
     )
     jobs = F.coalesce("parsed", F.from_json("jobs_json", POSTING_LIST))
-    rows = batches.join(answers, ["source", "batch_id"], "left").select(
+    rows = batches.join(answers, by, "left").select(
         F.col("source").alias("from_source"), "batch_id", F.posexplode(jobs).alias("item_no", "job")
     )
     rows = rows.filter(F.col("job").isNotNull())

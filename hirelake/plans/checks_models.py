@@ -9,7 +9,7 @@ from hirelake.operators import model_tables, pages
 from hirelake.plans.checks_pages import PATTERN
 from hirelake.plans.views import PARTS, POSTINGS, Inputs
 from hirelake.schema import POSTING_FIELDS
-from hirelake.session import bucketed
+from hirelake.session import BUCKETS, bucketed, join_in_place
 
 _ORDER = ["src_idx", "page_no", "item_no", "order_url"]
 # Rows of a source are numbered in chunks of this many orders.
@@ -23,9 +23,9 @@ def _sent(inputs: Inputs) -> DataFrame:
     )
 
 
-def batches(inputs: Inputs, size: int = model_tables.BATCH_SIZE) -> DataFrame:
+def batches(inputs: Inputs, size: int = model_tables.BATCH_SIZE, tasks: int | None = None) -> DataFrame:
     return model_tables.model_batches(
-        _sent(inputs), F.floor(F.col("page_no") / _CHUNK_ORDERS), _ORDER, size
+        _sent(inputs), F.floor(F.col("page_no") / _CHUNK_ORDERS), _ORDER, size, tasks=tasks
     )
 
 
@@ -55,8 +55,9 @@ def responses(inputs: Inputs, made: DataFrame | None = None) -> DataFrame:
     failed = F.when(F.col("batch_id") % 11 == 10, F.lit("timed out"))
     made = batches(inputs) if made is None else made
     return made.filter(F.col("batch_id") % 13 != 12).select(
-        "source", "batch_id", text.alias("text"), failed.alias("error")
-    )
+        "source", "batch_id", text.alias("text"), failed.alias("error"),
+        *(["place"] if "place" in made.columns else []),
+    )
 
 
 def _sites(inputs: Inputs) -> DataFrame:
@@ -67,11 +68,10 @@ def _sites(inputs: Inputs) -> DataFrame:
 
 
 def applied(inputs: Inputs) -> DataFrame:
-    # Batches are made once and dealt by their key, so that answers meet them in place.
-    made = bucketed(batches(inputs), ["source", "batch_id"], "batches")
-    return model_tables.apply_responses(made, responses(inputs, made)).select(
-        *POSTING_FIELDS, "batch_id", "item_no"
-    )
+    # Batches are made once and written where they were numbered, so that answers meet them in place.
+    made = bucketed(batches(inputs, tasks=BUCKETS), ["place"], "batches", dealt=True)
+    applied_to = model_tables.apply_responses(made, responses(inputs, made), "place")
+    return join_in_place(applied_to.select(*POSTING_FIELDS, "batch_id", "item_no"))
 
 
 def requests(inputs: Inputs) -> DataFrame:

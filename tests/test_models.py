@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from hirelake import session
 from hirelake.operators import exchange
 from hirelake.operators import model_tables as mt
 from hirelake.plans import checks_exchange, checks_models, checks_reports
@@ -131,6 +132,40 @@ def test_answers_meet_their_batches_in_place(spark, posting_rows):
     assert got.filter("company = 'Vendor 1'").count() == 3 * 8
 
 
+def test_batches_are_written_where_they_are_numbered(spark, posting_rows, monkeypatch):
+    made = []
+
+    def bucketed(df, keys, purpose, dealt=False):
+        made.append((df, dealt, session.bucketed(df, keys, purpose, dealt)))
+        return made[-1][2]
+
+    monkeypatch.setattr(checks_models, "bucketed", bucketed)
+    monkeypatch.setattr(checks_models, "_CHUNK_ORDERS", 4)
+    page = F.when(F.col("item_no") > 4, F.col("item_no"))
+    rows = posting_rows(*[(f"Job {n}", "Supplier 1", "x") for n in range(60)]).withColumn("page_no", page)
+    rows = rows.withColumn("source", F.when(F.col("item_no") % 3 > 0, F.concat(F.lit("s"), F.col("item_no") % 3)))
+    got = checks_models.applied(_Postings(rows))
+    (df, dealt, table), = made
+    assert dealt and _exchanged(df, "description", "_job", "jobs_json") == 1
+    assert _exchanged(got, "jobs_json", "parsed") == 0
+    plain = checks_models.batches(_Postings(rows))
+    assert sorted(map(str, table.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    expected = mt.apply_responses(plain, checks_models.responses(_Postings(rows))).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert got.filter("company = 'Vendor 1'").count() > 20
+    # One file a task, whichever places its rows have.
+    assert len(table.inputFiles()) <= 2 * table.select("place").distinct().count()
+    session.apply_settings(spark)
+
+
+def test_batches_send_the_same_text_with_and_without_chunks(spark, posting_rows):
+    odd = ['quo"te', "back\\slash", "new\nline\u2028", "[a, b]", "{}", "", "Straße 🙂", None]
+    df = posting_rows(*[(t, "C", None, "2024") for t in odd]).withColumn("source", F.lit("src"))
+    parts = [mt.model_batches(df, chunk, ["item_no"], 3) for chunk in (F.floor(F.col("item_no") / 4), None)]
+    a, b = ({(r.batch_id, r.n, r.jobs_json) for r in p.collect()} for p in parts)
+    assert a == b and len(a) == 3
+
+
 def test_rows_of_one_time_are_many_files(spark):
     rows = _Postings(spark.range(40_000).select(F.lit("").alias("date_posted"), F.col("id").alias("src_idx")))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
